@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import store
+
 #: Bytes of text that a segment gathers before it is closed; a longer document is a segment of its own.
 SEGMENT_BYTES = 2 << 20
 #: Words of test items that are sent to every task; more than this is an error.
@@ -256,7 +258,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     windows = load_windows(benchmark, item_col=item_col, text_col=item_text_col, width=width)
     spark = docs.sparkSession
     terms = spark.createDataFrame([(w,) for w in windows.term] or [(b"",)], "word binary")
-    found = overlaps(build_index(docs, id_col=id_col, text_col=text_col, terms=terms), windows)
+    index = store(build_index(docs, id_col=id_col, text_col=text_col, terms=terms), "index")
+    found = overlaps(index, windows)
     return found.select(
         "doc_id",
         "n_words",
