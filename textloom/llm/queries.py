@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, lattice, mixing, quality, sharding, simhash, urlfilter
+from . import chat, decontam, langid, lattice, mixing, pagetext, quality, sharding, simhash, urlfilter
 from .common import work_dir
 
 
@@ -43,10 +43,18 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagetext.extract(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_url_filter": op2_url_filter,
@@ -55,7 +63,9 @@ QUERIES = {
     "op5_chat": op5_chat,
     "op6_sharding": op6_sharding,
     "op7_quality": op7_quality,
+    "op8_language": op8_language,
     "op9_simhash": op9_simhash,
+    "op10_page_text": op10_page_text,
 }
 
 _OP2_SQL = r"""
