@@ -8,6 +8,7 @@ from textloom.operators.encoders import HashEncoder, l2_normalize, mean_pool, ou
 from textloom.plans.engine import Engine, word_hash_tokenizer
 from textloom.shared import work_dir
 from textloom.sources import sinks
+from textloom.streaming.monitor import observed
 
 
 def messages(spark, n=400):
@@ -75,6 +76,12 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(f"file://{tmp_path}/r/json").first().rate == 1.5
 
 
+def test_observed_counts(spark):
+    df, seen = observed(Engine(EmbedConfig(**SMALL)).plan(messages(spark)))
+    df.write.format("noop").mode("overwrite").save()
+    assert seen.get == {"rows": 400, "ok": 360, "skipped": 40, "failed": 0}
+
+
 def test_vector_math():
     assert mean_pool(np.array([[[1.0, 3], [3, 5]]]), np.array([[1, 1]])).tolist() == [[2, 4]]
     assert mean_pool(np.array([[[1.0, 3], [3, 5]]]), np.array([[0, 0]])).tolist() == [[0, 0]]

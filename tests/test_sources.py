@@ -12,6 +12,7 @@ from textloom.operators.tokenize import CachedTokenizer
 from textloom.plans.engine import Engine
 from textloom.sources import text
 from textloom.streaming.embed import embed_stream, read_stream
+from textloom.streaming.monitor import watch
 
 LINES = [
     '{"id":"a","text":"hello wide world"}',
@@ -89,6 +90,15 @@ class Letters:
         return type("E", (), {"ids": [ord(c) for c in s if c != "▁"]})
 
 
+def test_first_rows(spark, tmp_path):
+    (tmp_path / "x.txt").write_text("".join(f"line {i}\n\n" for i in range(50)))
+    path = f"file://{tmp_path}/x.txt"
+    assert text.count_lines(spark, [path]) == 100
+    out = text.first_rows(spark, path, 7, f"file://{tmp_path}/kept")
+    assert sorted(r.value for r in spark.read.text(out).collect()) == [f"line {i}" for i in range(7)]
+    assert text.first_rows(spark, path, 7, f"file://{tmp_path}/kept") == out
+
+
 def test_vocab_files_and_tokenizer(spark, tmp_path):
     path = str(tmp_path / "v.bin")
     entries = {"▁ab": [1, 2], "▁é": [], "▁z": [9]}
@@ -120,6 +130,8 @@ def test_cli(spark, tmp_path, capsys):
 
 
 def test_stream(spark, tmp_path):
+    said = []
+    monitor = watch(spark, said.append)
     (tmp_path / "in").mkdir()
     write(tmp_path / "in")
     for k in range(2):
@@ -131,3 +143,5 @@ def test_stream(spark, tmp_path):
             (tmp_path / "in" / "later.jsonl").write_text('{"id":"n","text":"a line that came later"}\n')
     rows = spark.read.parquet(f"file://{tmp_path}/out").collect()
     assert first == 7 and len(rows) == 8 and {r.id for r in rows if r.status == "ok"} >= {"a", "z", "s", "g", "n"}
+    spark.streams.removeListener(monitor)
+    assert monitor.total > 0 and any("rows" in x for x in said)

@@ -14,7 +14,7 @@ from ..functions import normalize as norm
 from ..functions import vectors
 from ..operators import batching, dedup, metrics, tokenize, vocab
 from ..operators.models import REGISTRY
-from ..shared import work_dir
+from ..shared import spread, work_dir
 from ..sources import sinks, text
 from .engine import Engine
 
@@ -33,7 +33,7 @@ def _query(sql: str | None = None):
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 # --- the normalizer ------------------------------------------------------------------------

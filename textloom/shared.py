@@ -75,3 +75,14 @@ def drop(df: DataFrame) -> None:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """``scan`` dealt over all cores where its files can't be split into as many parts.
+
+    Small or compressed inputs arrive in few partitions; what follows is heavier than dealing
+    them out. Large inputs have more parts than cores and are left as they are.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    parts = scan._jdf.queryExecution().toRdd().getNumPartitions()
+    return scan if parts >= cores else scan.repartition(cores)

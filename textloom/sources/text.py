@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -122,6 +123,24 @@ def validate_jsonl(lines: DataFrame) -> int:
     return n
 
 
+def count_lines(spark: SparkSession, paths: list[str]) -> int:
+    return read_lines(spark, paths).count()
+
+
+def first_rows(spark: SparkSession, path: str, most: int, folder: str) -> str:
+    """A file of the first ``most`` lines of ``path`` that are not blank, made once for each state of ``path``."""
+    fs, p = hadoop_path(spark, path)
+    if not fs.exists(p):
+        raise InputOutputError(f"no such file: {path}")
+    state = fs.getFileStatus(p)
+    key = hashlib.sha1(f"{path}:{state.getModificationTime()}:{state.getLen()}:{most}".encode()).hexdigest()[:10]
+    out = f"{folder.rstrip('/')}/first-{most}-{key}"
+    if not fs.exists(hadoop_path(spark, f"{out}/_SUCCESS")[1]):
+        lines = read_lines(spark, [path]).where(trim(F.col("value")) != "").withColumn("line", F.monotonically_increasing_id())
+        lines.orderBy("file", "block", "line").limit(most).select("value").write.mode("overwrite").text(out)
+    return out
+
+
 def passages(texts: DataFrame, column: str, *, low: int = 50, high: int = 256, prefix: str = "passage: ") -> DataFrame:
     """(text): trimmed texts of ``low`` to ``high`` characters, prefixed."""
     return texts.select(trim(F.col(column)).alias("text")).where(F.length("text").between(low, high)).select(F.concat(F.lit(prefix), "text").alias("text"))
