@@ -1,82 +1,18 @@
-"""What the corpus operators share: a shared folder, words, hashes, connected components."""
+"""What the corpus operators have in common: words, folds, connected components."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-import weakref
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.shared import drop, hadoop_path, remove, shared_dir, shuffle_partitions, store, work_dir
+
+__all__ = ["BROADCAST_IDS", "connected_components", "crc_fold", "drop", "hadoop_path", "lower_ascii", "n_words", "remove", "shared_dir", "shuffle_partitions", "store", "without", "work_dir"]
+
 #: ASCII white space, the only separator of words.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_kept: list[tuple[weakref.ref, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the context's own.
-
-    Where neither is set, a local master gets a temporary folder; on a cluster that is an
-    error, as executors could not see it.
-    """
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not path:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = f"file://{tempfile.mkdtemp(prefix='textloom-')}"
-        sc.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver's process ends."""
-    path = f"{shared_dir(spark)}/textloom-{uuid.uuid4().hex}/{name}"
-    if not _kept:
-        atexit.register(_remove_all)
-    _kept.append((weakref.ref(spark), path))
-    return path
-
-
-def hadoop_path(spark: SparkSession, path: str):
-    """(file system, Path) by which the JVM reaches ``path``."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    fs, p = hadoop_path(spark, path)
-    fs.delete(p, True)
-
-
-def _remove_all() -> None:
-    for ref, path in _kept:
-        spark = ref()
-        try:
-            if spark is not None and spark.sparkContext._jsc is not None:
-                remove(spark, path.rpartition("/")[0])
-        except Exception:  # noqa: BLE001  the JVM may be gone already
-            return
-
-
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = work_dir(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stored_at = path
-    return out
-
-
-def drop(df: DataFrame) -> None:
-    """Remove what ``store`` wrote, once nothing reads it any more."""
-    remove(df.sparkSession, df._stored_at)
-
 
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z, nothing else."""
@@ -93,8 +29,18 @@ def crc_fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Ids that are sent to every task: eight bytes each, and a few times that in a hash table.
+BROADCAST_IDS = 2_000_000
+
+
+def without(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose id is in ``ids`` (a stored column __id, each id once).
+
+    The ids are counted: up to BROADCAST_IDS of them go to the texts; beyond, the texts are
+    shuffled to the ids.
+    """
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids.hint("merge"), docs[id_col].eqNullSafe(F.col("__id")), "left_anti")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -108,7 +54,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
     hi, lo = F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")
     flat = edges.where("a is not null and b is not null")
     now = store(flat.where("a <> b").select(hi, lo).distinct(), "edges")
-    nodes = None
     loops = flat.where("a = b").select(F.col("a").alias("node"))
     before = None
     while True:

@@ -118,4 +118,27 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_url_filter": _OP2_SQL, "op5_chat": _OP5_SQL}
+_OP4_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_no, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), win AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(list_slice(w, p, p + least(len(w), 10) - 1), ' ') AS k
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS p FROM i WHERE len(w) > 0)
+), hit AS (
+  SELECT row_no, p, x.n, item_id FROM (
+    SELECT row_no, n, p, array_to_string(list_slice(w, p, p + n - 1), ' ') AS k
+    FROM (SELECT row_no, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)
+  ) x JOIN win ON x.k = win.k AND x.n = win.n
+), words AS (
+  SELECT row_no, count(DISTINCT q) AS n_hit FROM (SELECT row_no, unnest(range(p, p + n)) AS q FROM hit) GROUP BY row_no
+), items AS (
+  SELECT row_no, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS listed FROM (SELECT DISTINCT row_no, item_id::VARCHAR AS s FROM hit WHERE item_id IS NOT NULL) GROUP BY row_no
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (row_no) LEFT JOIN items USING (row_no)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_url_filter": _OP2_SQL, "op4_decontamination": _OP4_SQL, "op5_chat": _OP5_SQL}
