@@ -15,12 +15,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_fold
 
-#: The training sample: this many labelled rows of each language, those of the smallest hashed ids...
+#: The training sample: at most this many labelled rows of each language, those of the smallest hashed ids...
 SAMPLE_ROWS = 400
 #: ...among rows whose texts have at most this many characters.
 SAMPLE_CHARS = 10_000
@@ -319,17 +319,24 @@ def _expectations(scores: np.ndarray, transitions: np.ndarray, start: np.ndarray
 def sample(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
     """At most ``rows`` labelled rows of each language, by hashed id, of at most ``chars`` characters."""
     fit = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= chars))
-    slim = fit.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.lit(3)).alias("h"))
-    # Each task passes on its smallest hashes only, before anything is shuffled.
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    limits = slim.withColumn("r", rank).where(F.col("r") <= rows).groupBy("lang").agg(F.max("h").alias("limit"))
-    limits = F.broadcast(limits)  # one row a language
-    own = fit.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.lit(3)).alias("h"))
-    drawn = own.join(limits, "lang").where("h <= limit").select("lang", "text", "h")
-    n = limits.count()
-    # Repeated rows share a hash; the bound holds for them as well.
-    got = drawn.orderBy("h", "lang", "text").limit(rows * max(1, n)).collect()
-    return [(r.lang, r.text) for r in got]
+    # A row's hash, from 0 to 1, is held against its language's share: no task sorts or ranks a language's rows.
+    u = F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("string"), F.lit(3)), 11) / F.lit(float(1 << 53))
+    own = fit.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), u.alias("u"))
+    counts = {r.lang: r["count"] for r in own.groupBy("lang").count().collect()}  # one row a language
+    if not counts:
+        return []
+    shares = [(lang, (rows + 4 * rows**0.5 + 8) / n) for lang, n in counts.items()]
+    shares = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, share double"))
+    drawn = own.join(shares, "lang").where("u < share").select("lang", "text", "u")
+    # About that many rows a language by expectation; repeated rows share a hash, so a limit holds as well.
+    got = sorted((r.lang, r.u, r.text) for r in drawn.limit(2 * (rows + 8) * len(counts)).collect())
+    out: list[tuple[str, str]] = []
+    kept: Counter = Counter()
+    for lang, _, t in got:
+        if kept[lang] < rows:
+            kept[lang] += 1
+            out.append((lang, t))
+    return out
 
 
 def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held_fold: int = 1, rows: int = SAMPLE_ROWS) -> DataFrame:
