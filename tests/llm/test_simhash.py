@@ -3,7 +3,7 @@ import re
 import pytest
 import xxhash
 
-from textloom.llm import simhash
+from textloom.llm import common, simhash
 
 
 def brute_fp(text):
@@ -74,3 +74,10 @@ def test_drop_keeps_one_of_each_group(spark):
     ids = [r.doc_id for r in out.collect()]
     assert sorted(i for i in ids if i is not None) == sorted({c for _, c in named})
     assert ids.count(None) == 2
+
+
+def test_ids_are_dropped_alike_by_both_joins(spark, monkeypatch):
+    df = spark.createDataFrame(ROWS, "doc_id long, text string")
+    few = sorted(map(str, simhash.drop_near_duplicates(df).collect()))
+    monkeypatch.setattr(common, "BROADCAST_IDS", 0)
+    assert sorted(map(str, simhash.drop_near_duplicates(df).collect())) == few

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import store
+from .common import drop, store, without
 
 #: Bytes of text that a segment gathers before it is closed; a longer document is a segment of its own.
 SEGMENT_BYTES = 2 << 20
@@ -255,11 +255,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     windows. Items without an id mark words but are not listed. Repeated rows of either table,
     ties and extra columns change nothing; an empty table of documents gives no rows.
     """
-    windows = load_windows(benchmark, item_col=item_col, text_col=item_text_col, width=width)
-    spark = docs.sparkSession
-    terms = spark.createDataFrame([(w,) for w in windows.term] or [(b"",)], "word binary")
-    index = store(build_index(docs, id_col=id_col, text_col=text_col, terms=terms), "index")
-    found = overlaps(index, windows)
+    found, _ = _found(docs, benchmark, id_col, text_col, item_col, item_text_col, width)
     return found.select(
         "doc_id",
         "n_words",
@@ -270,11 +266,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", max_share: float = 0.0, **options) -> DataFrame:
+def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, width: int) -> tuple[DataFrame, DataFrame]:
+    """(overlaps, the stored index that they are read from)"""
+    windows = load_windows(benchmark, item_col=item_col, text_col=item_text_col, width=width)
+    terms = docs.sparkSession.createDataFrame([(w,) for w in windows.term] or [(b"",)], "word binary")
+    index = store(build_index(docs, id_col=id_col, text_col=text_col, terms=terms), "index")
+    return overlaps(index, windows), index
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, max_share: float = 0.0) -> DataFrame:
     """``docs`` without the rows whose share of hit words is above ``max_share``, same columns.
 
-    Rows without an id stay, as they can't be told apart; rows of one id go together.
+    Rows without an id stay, as they can't be told apart; rows of one id go together. The index
+    is removed once the ids to drop are known.
     """
-    found = contamination(docs, benchmark, id_col=id_col, **options)
-    bad = found.where(F.col("contaminated") & (F.col("n_hit") > max_share * F.col("n_words"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(bad, docs[id_col] == F.col("__id"), "left_anti")
+    found, index = _found(docs, benchmark, id_col, text_col, item_col, item_text_col, width)
+    hit = (F.col("n_hit") > 0) & (F.col("n_hit") > max_share * F.col("n_words"))
+    bad = store(found.where(hit & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id")).distinct(), "contaminated")
+    drop(index)
+    return without(docs, id_col, bad)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import store
+from .common import drop, store, without
 
 #: A line is above the limit when more distinct documents of its host hold it than this number...
 MIN_DOCS = 10
@@ -169,7 +169,10 @@ def judge(
     an id like any other; rows repeated in whole count as one document and are judged alike.
     Extra columns are ignored; an empty table gives no rows.
     """
-    measured = store(metrics(docs, id_col=id_col, text_col=text_col, host_col=host_col), "metrics")
+    return _judged(store(metrics(docs, id_col=id_col, text_col=text_col, host_col=host_col), "metrics"), min_docs, min_share, copy_share, left_share)
+
+
+def _judged(measured: DataFrame, min_docs: int, min_share: float, copy_share: float, left_share: float) -> DataFrame:
     bad = store(boilerplate(measured, min_docs=min_docs, min_share=min_share, copy_share=copy_share), "boilerplate")
     own = measured.select("host", "text_hash", F.explode(F.arrays_zip("line_hash", "line_words")).alias("l"))
     lines = own.select("host", "text_hash", F.col("l.line_hash").alias("line"), F.col("l.line_words").alias("words")).distinct().alias("t")
@@ -192,11 +195,24 @@ def judge(
     )
 
 
-def keep_good(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+def keep_good(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    host_col: str = "source",
+    min_docs: int = MIN_DOCS,
+    min_share: float = MIN_SHARE,
+    copy_share: float = COPY_SHARE,
+    left_share: float = LEFT_SHARE,
+) -> DataFrame:
     """``docs`` without the rows that ``judge`` rejects, same columns.
 
     Where rows of one id are judged apart, they stay if any of them is kept. Rows without an id
-    are judged as one such group.
+    are judged as one such group. The texts' counts are removed once the ids to drop are known.
     """
-    good = judge(docs, id_col=id_col, **options).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(good, docs[id_col].eqNullSafe(F.col("__id")), "left_semi")
+    measured = store(metrics(docs, id_col=id_col, text_col=text_col, host_col=host_col), "metrics")
+    verdicts = _judged(measured, min_docs, min_share, copy_share, left_share)
+    bad = store(verdicts.groupBy(F.col("doc_id").alias("__id")).agg(F.bool_or("kept").alias("any")).where("not any").select("__id"), "rejected")
+    drop(measured)
+    return without(docs, id_col, bad)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, store
+from .common import connected_components, store, without
 
 _SHIFTS = np.arange(64, dtype=np.uint64)
 
@@ -104,7 +104,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     with a null id get the component of the other rows that they reach, null if there is none;
     repeated rows are kept. Extra columns are ignored; an empty table gives no rows.
     """
-    fps = store(fingerprints(docs, id_col=id_col, text_col=text_col, words=words, seed=seed), "fingerprints")
+    return _components(store(fingerprints(docs, id_col=id_col, text_col=text_col, words=words, seed=seed), "fingerprints"), radius)
+
+
+def _components(fps: DataFrame, radius: int) -> DataFrame:
     classes = store(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
     found = connected_components(ball_links(classes, radius=radius))
     # Only linked fingerprints take part in the joins; the smallest id of a component is an aggregate.
@@ -123,13 +126,13 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """
     id_col = options.get("id_col", "doc_id")
     text_col = options.get("text_col", "text")
-    found = near_duplicates(docs, **options)
-    stay = store(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).count(), "stay")
-    at = docs[id_col] == F.col("__id")
-    out = docs.join(stay.where("count = 1"), at, "left_semi").unionByName(docs.where(docs[id_col].isNull()))
-    if not stay.where("count > 1").isEmpty():
-        again = docs.join(stay.where("count > 1"), at, "left_semi")
+    found = near_duplicates(docs, **options).where("doc_id is not null")
+    ids = store(found.groupBy(F.col("doc_id").alias("__id")).agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("n")), "verdicts")
+    out = without(docs, id_col, store(ids.where("not stays").select("__id"), "dropped"))
+    twice = ids.where("stays and n > 1").select("__id")
+    if not twice.isEmpty():
         row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        again = docs.join(twice, docs[id_col] == F.col("__id"), "left_semi")
         first = again.groupBy(id_col).agg(F.min_by(row, F.struct(F.col(text_col), F.to_json(row))).alias("__row"))
-        out = out.unionByName(first.select("__row.*"))
+        out = without(out, id_col, store(twice, "twice")).unionByName(first.select("__row.*"))
     return out
