@@ -27,14 +27,6 @@ def hash_component(word: Column, j: int) -> Column:
     return F.conv(F.substring(digest, 6 * (j % 5) + 1, 6), 16, 10).cast("double") / F.lit(16777215.0) * 2 - 1
 
 
-def hash_embedding(words: Column, dim: int) -> Column:
-    """Mean over words of their pseudo-embeddings: an encoder without weights."""
-    vectors = F.transform(words, lambda w: F.array(*[hash_component(w, j) for j in range(dim)]))
-    total = F.aggregate(vectors, F.array_repeat(F.lit(0.0), dim), lambda a, v: F.zip_with(a, v, lambda p, q: p + q))
-    n = F.greatest(F.size(words), F.lit(1)).cast("double")
-    return F.transform(total, lambda x: x / n)
-
-
 def bucket_of(length: Column, buckets) -> Column:
     """Number of the first bucket that holds ``length`` tokens, else the last."""
     out = F.lit(len(buckets) - 1)

@@ -7,8 +7,12 @@ import os
 from typing import Protocol
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..errors import InferenceError, ModelError
+from ..functions.vectors import hash_component
+from ..functions.vectors import l2_normalize as unit_vector
 
 
 class Encoder(Protocol):
@@ -57,6 +61,17 @@ class HashEncoder:
         return l2_normalize(mean_pool(table[inverse.reshape(ids.shape)], used)).astype(np.float32)
 
 
+def hash_vectors(texts: DataFrame, key: str, dim: int, column: str = "norm_text") -> DataFrame:
+    """(key, v): the mean of all words' pseudo-embeddings, of unit length; an encoder in expressions only.
+
+    Words become rows, so that every expression is compiled and a digest is computed once for
+    its components; means are combined in each task before one row a key is shuffled.
+    """
+    words = texts.select(key, F.explode(F.split(column, " ")).alias("w"))
+    means = words.groupBy(key).agg(*[F.avg(hash_component(F.col("w"), j)).alias(f"c{j}") for j in range(dim)])
+    return means.select(key, unit_vector(F.array(*[F.col(f"c{j}") for j in range(dim)])).alias("v"))
+
+
 class OnnxEncoder:
     """A model of a local folder, run by onnxruntime; pools if the model does not."""
 

@@ -13,6 +13,7 @@ from ..config import BATCH_SIZES, BUCKETS, EmbedConfig, autoscale
 from ..functions import normalize as norm
 from ..functions import vectors
 from ..operators import batching, dedup, metrics, tokenize, vocab
+from ..operators.encoders import hash_vectors
 from ..operators.models import REGISTRY
 from ..shared import spread, work_dir
 from ..sources import sinks, text
@@ -436,22 +437,18 @@ _EMBED_SQL = f"""
 
 
 #: 0.0 is added to rounded values, as one engine may say -0.0 where another says 0.0.
-def _hash_vectors(df: DataFrame) -> DataFrame:
-    return df.withColumn("v", vectors.l2_normalize(vectors.hash_embedding(F.split("norm_text", " "), DIM)))
-
-
 def _spread(df: DataFrame) -> DataFrame:
     return df.select("doc_id", *[(F.round(F.get("v", F.lit(j)), 4) + 0.0).alias(f"e{j}") for j in range(DIM)])
 
 
 @_query(_EMBED_SQL)
 def embed_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spread(_hash_vectors(_norm_docs(spark, sf_dir)))
+    return _spread(hash_vectors(_norm_docs(spark, sf_dir), "doc_id", DIM))
 
 
 @_query(_EMBED_SQL)
 def embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spread(dedup.once_per_text(_norm_docs(spark, sf_dir), "norm_text", _hash_vectors))
+    return _spread(dedup.once_per_text(_norm_docs(spark, sf_dir), "norm_text", lambda texts: hash_vectors(texts, "norm_text", DIM)))
 
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
