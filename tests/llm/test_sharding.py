@@ -41,6 +41,17 @@ def test_rows_survive(spark):
     assert all(n == len(x) for (_, n), x in by.items()) and len(by) == len(after.shards)
 
 
+def test_small_jobs_end_in_the_same_state(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "JOB_SHARDS", 3)
+    monkeypatch.setattr(sharding, "_job", lambda groups: groups[:1])
+    store = ShardStore(spark, work_dir(spark, "t"))
+    store.append(frame(spark, 600), rows=20)
+    after = store.compact(target_bytes=60_000, fan_in=4)
+    assert after.version > 2 and len(after.shards) < 30
+    assert sorted(map(tuple, store.read().collect()), key=str) == sorted(map(tuple, frame(spark, 600).collect()), key=str)
+    assert store.placement("doc_id").count() == 600
+
+
 def test_commit_is_exclusive(spark):
     store = ShardStore(spark, work_dir(spark, "t"))
     base = store.manifest()

@@ -24,6 +24,8 @@ TARGET_BYTES = 64 << 20
 ARRIVAL_ROWS = 2048
 #: Shards of a tier that start a merge.
 FAN_IN = 4
+#: Shards that one merging job reads: bounds its shuffle, its table of names and what a failure repeats.
+JOB_SHARDS = 50_000
 
 
 class Conflict(RuntimeError):
@@ -75,6 +77,21 @@ def plan(shards: tuple[Shard, ...], *, target_bytes: int = TARGET_BYTES, fan_in:
     return [g for g in out if len(g) > 1]
 
 
+def _job(groups: list[list[Shard]], most: int = JOB_SHARDS) -> list[list[Shard]]:
+    """The first groups that hold ``most`` shards together, one group at least."""
+    total = 0
+    for i, g in enumerate(groups):
+        total += len(g)
+        if i and total > most:
+            return groups[:i]
+    return groups
+
+
+def _named(table: DataFrame, rows: int) -> DataFrame:
+    """Broadcast while it has no more rows than a job's shards; beyond that an ordinary join."""
+    return F.broadcast(table) if rows <= JOB_SHARDS else table
+
+
 class ShardStore:
     """A folder that driver and executors share, with ``data`` and ``manifests`` in it."""
 
@@ -151,14 +168,15 @@ class ShardStore:
                 continue
 
     def compact(self, *, target_bytes: int = TARGET_BYTES, fan_in: int = FAN_IN) -> Manifest:
-        """Merge until no tier below the target is full; each round is committed by itself."""
+        """Merge until no tier below the target is full; jobs of bounded size, each committed by itself."""
         while True:
             base = self.manifest()
             groups = plan(base.shards, target_bytes=target_bytes, fan_in=fan_in)
             if not groups:
                 return base
+            groups = _job(groups)
             of = [(s.path.rpartition("/")[2], s.path.split("/")[1], i) for i, g in enumerate(groups) for s in g]
-            names = F.broadcast(self.spark.createDataFrame(of, "__file string, __run string, __group int"))  # one short row a shard
+            names = _named(self.spark.createDataFrame(of, "__file string, __run string, __group int"), len(of))
             rows = self._read(base, [s for g in groups for s in g]).select("*", F.col("_metadata.file_name").alias("__f"), F.element_at(F.split("_metadata.file_path", "/"), -2).alias("__r"))
             dealt = rows.join(names, (F.col("__f") == F.col("__file")) & (F.col("__r") == F.col("__run"))).drop("__f", "__file", "__r", "__run")
             merged = self._write(dealt.repartitionById(len(groups), F.col("__group")).drop("__group"), 1 + max(s.merges for g in groups for s in g))
@@ -208,7 +226,7 @@ class ShardStore:
         if not m.shards:
             return self.read(version).select(*columns).join(self.spark.createDataFrame([], extra))
         table = [(s.path.rpartition("/")[2], s.path.split("/")[1], i, s.rows, s.bytes, s.merges, m.version) for i, s in enumerate(m.shards)]
-        names = F.broadcast(self.spark.createDataFrame(table, "__file string, __run string, " + extra))  # one short row a shard
+        names = _named(self.spark.createDataFrame(table, "__file string, __run string, " + extra), len(table))
         rows = self.read(version).select(*columns, F.col("_metadata.file_name").alias("__f"), F.element_at(F.split("_metadata.file_path", "/"), -2).alias("__r"))
         return rows.join(names, (F.col("__f") == F.col("__file")) & (F.col("__r") == F.col("__run"))).drop("__f", "__file", "__r", "__run")
 
