@@ -49,6 +49,12 @@ def test_matches_brute_force(spark):
     assert got == brute(ROWS)
 
 
+def test_large_classes_are_told_alike(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LARGE_CLASS", 1)
+    df = spark.createDataFrame(ROWS, "doc_id long, text string")
+    assert sorted(map(tuple, simhash.near_duplicates(df).collect()), key=str) == brute(ROWS)
+
+
 def test_driver_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]

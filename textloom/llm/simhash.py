@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .common import connected_components, store, without
 
 _SHIFTS = np.arange(64, dtype=np.uint64)
+#: Rows of equal fingerprint that may be joined in one task, whatever the table's size.
+LARGE_CLASS = 1_000
 
 
 def _fingerprint(text: bytes, words: int, seed: int) -> int:
@@ -108,14 +110,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def _components(fps: DataFrame, radius: int) -> DataFrame:
-    classes = store(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
+    classes = store(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "classes")
     found = connected_components(ball_links(classes, radius=radius))
     # Only linked fingerprints take part in the joins; the smallest id of a component is an aggregate.
     linked = classes.join(found, classes.fp == found.node).select("fp", "component", "first_id")
     least = linked.groupBy("component").agg(F.min("first_id").alias("least_id"))
     named = linked.join(least, "component").select("fp", "least_id")
-    table = classes.join(named, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
-    return fps.join(table, "fp").select("doc_id", fp_hex(F.col("fp")).alias("fingerprint"), "component_id")
+    table = classes.join(named, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"), "n")
+    # A class of over a ten-thousandth of all rows is told by broadcast, so that its rows never meet
+    # in one task; there are fewer than ten thousand such classes. The others are joined.
+    rows = classes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    large = F.col("n") > max(LARGE_CLASS, rows // 10_000)
+    hot = store(table.where(large).select("fp", "component_id"), "hot")
+    told = fps.join(F.broadcast(hot), "fp")
+    rest = fps.join(F.broadcast(hot), "fp", "left_anti").join(table.where(~large).select("fp", "component_id"), "fp")
+    return told.unionByName(rest).select("doc_id", fp_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
