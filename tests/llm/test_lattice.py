@@ -47,11 +47,16 @@ def test_forward_sums_all_segmentations():
 
 def test_long_words_agree():
     p = Pieces.of(VOCAB)
-    words = ["abcé" * 16, "abcéx" * 100, "z" * 300]
-    with np.errstate(over="ignore"):
+    words = ["abcé" * 16, "abcéx" * 100, "z" * 300, "a", "😀" * 30, "ab" * 20]
+    with np.errstate(over="ignore", invalid="ignore"):
         for w in words:
             points = np.array([[0x2581, *map(ord, w)]], np.uint32)
-            assert abs(lattice._long(points[0], p) - lattice.Lattice(points, p).forward()[-1, 0]) < 1e-6 * len(w)
+            long, short = lattice.LongWord(points[0], p), lattice.Lattice(points, p)
+            assert np.allclose(long.forward(), short.forward()[:, 0])
+            one, two = np.zeros(len(VOCAB)), np.zeros(len(VOCAB))
+            assert long.expected(3.0, one) == pytest.approx(short.expected(np.array([3.0]), two))
+            assert np.allclose(one, two)
+        assert lattice.LongWord(np.array([97] * 300_000, np.uint32), p).forward()[-1] < 0
 
 
 def brute(rows, vocab):

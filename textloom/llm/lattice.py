@@ -17,6 +17,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Commonest words, sent to every task.
 HEAD_WORDS = 100_000
 #: Distinct words that a task counts before it passes its counts on.
-FLUSH_WORDS = 400_000
+FLUSH_WORDS = 250_000
 #: Rounds of expected counts.
 ROUNDS = 3
 #: Code points of a word that one step of the vectorised recursion takes; longer words go one by one.
@@ -49,6 +50,20 @@ class Pieces:
     end: float
     longest: int
 
+    def __post_init__(self):
+        self._some = np.zeros(1 << 20, bool)  # which leading 20 bits keys have: most strings fail here
+        self._some[(self.keys >> np.uint64(44)).astype(np.int64)] = True
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in ``hashes``, numbers of the pieces there)."""
+        likely = np.flatnonzero(self._some[(hashes >> np.uint64(44)).astype(np.int64)])
+        if not len(likely):
+            return likely, likely
+        at = np.searchsorted(self.keys, hashes[likely])
+        at[at == len(self.keys)] = 0
+        hit = self.keys[at] == hashes[likely]
+        return likely[hit], at[hit]
+
     @classmethod
     def load(cls, path: str = VOCABULARY) -> Pieces:
         """The pieces of a sentencepiece model, in the order of its scores, weighted by Zipf's law."""
@@ -93,23 +108,19 @@ class Lattice:
 
     def __init__(self, points: np.ndarray, pieces: Pieces):
         self.n, self.size = points.shape
-        self.pieces = pieces
+        self.points, self.pieces = points, pieces
         prefix = np.zeros((self.size + 1, self.n), np.uint64)
         for j in range(self.size):
             prefix[j + 1] = prefix[j] * _SPREAD + points[:, j].astype(np.uint64) + np.uint64(1)
         self.arcs: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}  # (from, to) -> (words, piece numbers)
         power = np.uint64(1)
-        keys = pieces.keys
         single = np.zeros((self.size, self.n), bool)
         for k in range(1, min(pieces.longest, self.size) + 1):
             power = power * _SPREAD
             for i in range(self.size - k + 1):
-                h = prefix[i + k] - prefix[i] * power
-                at = np.searchsorted(keys, h)
-                at[at == len(keys)] = 0
-                found = np.flatnonzero(keys[at] == h) if len(keys) else np.zeros(0, np.int64)
+                found, numbers = pieces.find(prefix[i + k] - prefix[i] * power)
                 if len(found):
-                    self.arcs[i, i + k] = (found, at[found])
+                    self.arcs[i, i + k] = (found, numbers)
                     if k == 1:
                         single[i, found] = True
         # Code points that are no piece: leave the vocabulary, then each byte alike.
@@ -129,24 +140,40 @@ class Lattice:
         return alpha
 
     def expected(self, weight: np.ndarray, counts: np.ndarray) -> float:
-        """Add each piece's expected uses, times the words' ``weight``, to ``counts``; returns those of spelling."""
-        alpha = self.forward()
-        beta = np.full_like(alpha, -np.inf)
-        beta[self.size] = 0
-        for i in range(self.size - 1, -1, -1):
-            terms = beta[i]
-            terms[:] = beta[i + 1] + self.spelled[i]
-            for j in range(i + 1, min(self.size, i + self.pieces.longest) + 1):
-                if (arc := self.arcs.get((i, j))) is not None:
-                    words, at = arc
-                    terms[words] = np.logaddexp(terms[words], beta[j, words] + self.pieces.logp[at])
+        """Add each piece's expected uses, times the words' ``weight``, to ``counts``; returns those of spelling.
+
+        Products of probabilities where they fit a double, which short words' do; words whose
+        product vanishes are taken again in log space.
+        """
+        gain = np.exp(self.pieces.logp)
+        alone = np.exp(self.spelled)
+        ends: list[list[int]] = [[] for _ in range(self.size + 1)]
+        for i, j in self.arcs:
+            ends[j].append(i)
+        alpha = np.zeros((self.size + 1, self.n))
+        alpha[0] = 1
+        for j in range(1, self.size + 1):
+            terms = alpha[j]
+            np.multiply(alpha[j - 1], alone[j - 1], out=terms)
+            for i in ends[j]:
+                words, at = self.arcs[i, j]
+                terms[words] += alpha[i, words] * gain[at]
+        beta = np.zeros_like(alpha)
+        beta[self.size] = 1
+        for j in range(self.size, 0, -1):  # every arc into j has its end's message by now
+            beta[j - 1] += beta[j] * alone[j - 1]
+            for i in ends[j]:
+                words, at = self.arcs[i, j]
+                beta[i, words] += beta[j, words] * gain[at]
         total = alpha[self.size]
-        for (i, j), (words, at) in self.arcs.items():
-            share = np.exp(alpha[i, words] + self.pieces.logp[at] + beta[j, words] - total[words])
-            counts += np.bincount(at, share * weight[words], len(counts))
-        with np.errstate(invalid="ignore"):
-            share = np.exp(alpha[:-1] + self.spelled + beta[1:] - total)
-        return float((share * weight).sum())
+        scale = np.where(total > 1e-280, weight / np.maximum(total, 1e-280), 0.0)
+        if self.arcs:
+            ats, shares = zip(*((at, alpha[i, words] * gain[at] * beta[j, words] * scale[words]) for (i, j), (words, at) in self.arcs.items()))
+            counts += np.bincount(np.concatenate(ats), np.concatenate(shares), len(counts))
+        spelled = float((alpha[:-1] * alone * beta[1:] * scale).sum())
+        for w in np.flatnonzero(total <= 1e-280).tolist():
+            spelled += LongWord(self.points[w], self.pieces).expected(float(weight[w]), counts)
+        return spelled
 
 
 def _grouped(words: list[str]) -> Iterator[tuple[list[int], np.ndarray]]:
@@ -155,7 +182,7 @@ def _grouped(words: list[str]) -> Iterator[tuple[list[int], np.ndarray]]:
     for i, w in enumerate(words):
         by.setdefault(len(w), []).append(i)
     for size, numbers in by.items():
-        step = max(1, 400_000 // (size + 1)) if size < LONG_WORD else 1
+        step = max(1, 400_000 // (size + 1)) if size + 1 <= LONG_WORD else 1
         for at in range(0, len(numbers), step):
             some = numbers[at : at + step]
             flat = np.frombuffer("".join(words[i] for i in some).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(some), size)
@@ -166,38 +193,75 @@ def word_scores(words: list[str], pieces: Pieces) -> np.ndarray:
     """Natural log of each word's probability over all its segmentations."""
     out = np.empty(len(words))
     for some, points in _grouped(words):
-        out[some] = _long(points[0], pieces) if points.shape[1] > LONG_WORD else Lattice(points, pieces).forward()[-1]
+        long = points.shape[1] > LONG_WORD
+        out[some] = LongWord(points[0], pieces).forward()[-1] if long else Lattice(points, pieces).forward()[-1]
     return out
 
 
-def _long(points: np.ndarray, pieces: Pieces) -> float:
-    """The same recursion along one long word, in memory that grows with its length only."""
-    alpha = [0.0]
-    n = len(points)
-    prefix = np.zeros(n + 1, np.uint64)
-    h = 0
-    for j, c in enumerate(points.tolist()):
-        h = (h * int(_SPREAD) + c + 1) & 0xFFFFFFFFFFFFFFFF
-        prefix[j + 1] = h
-    spelled = (pieces.spell - _utf8_length(points) * math.log(256)).tolist()
-    hits: dict[int, list[tuple[int, float]]] = {}
-    power = np.uint64(1)
-    with np.errstate(over="ignore"):
-        for k in range(1, min(pieces.longest, n) + 1):
-            power = power * _SPREAD
-            h = prefix[k:] - prefix[:-k] * power
-            at = np.searchsorted(pieces.keys, h)
-            at[at == len(pieces.keys)] = 0
-            for i in np.flatnonzero(pieces.keys[at] == h).tolist() if len(pieces.keys) else ():
-                hits.setdefault(i + k, []).append((i, float(pieces.logp[at[i]])))
-    for j in range(1, n + 1):
-        arcs = hits.get(j, [])
-        terms = [alpha[i] + p for i, p in arcs]
-        if not any(i == j - 1 for i, _ in arcs):
-            terms.append(alpha[j - 1] + spelled[j - 1])
-        top = max(terms)
-        alpha.append(top + math.log(sum(math.exp(t - top) for t in terms)))
-    return alpha[-1]
+class LongWord:
+    """The same recursions along one long word, with arrays of its arcs only: memory follows its length."""
+
+    CHUNK = 1 << 16
+
+    def __init__(self, points: np.ndarray, pieces: Pieces):
+        self.n, self.pieces = len(points), pieces
+        prefix = np.zeros(self.n + 1, np.uint64)
+        h, spread, bits = 0, int(_SPREAD), 0xFFFFFFFFFFFFFFFF
+        for j, c in enumerate(points.tolist()):
+            h = (h * spread + c + 1) & bits
+            prefix[j + 1] = h
+        starts, ends, numbers = [], [], []
+        power = np.uint64(1)
+        self.spelled = pieces.spell - _utf8_length(points) * math.log(256)
+        with np.errstate(over="ignore"):
+            for k in range(1, min(pieces.longest, self.n) + 1):
+                power = power * _SPREAD
+                at, number = pieces.find(prefix[k:] - prefix[:-k] * power)
+                starts.append(at.astype(np.int64))
+                ends.append(at.astype(np.int64) + k)
+                numbers.append(number.astype(np.int64))
+                if k == 1:
+                    self.spelled[at] = -np.inf
+        self.starts, self.ends, self.numbers = (np.concatenate(x) for x in (starts, ends, numbers))
+
+    def _run(self, here: np.ndarray, other: np.ndarray, numbers: np.ndarray, spelled: np.ndarray) -> np.ndarray:
+        """Messages at 0..n; ``here`` ascends, ``other`` lies before it, ``spelled[j - 1]`` leads from j - 1 to j."""
+        out = np.empty(self.n + 1)
+        recent = [0.0]  # the last messages, as Python numbers; recent[-1] is at j - 1
+        out[0] = 0.0
+        longest = self.pieces.longest
+        bounds = np.searchsorted(here, np.arange(self.n + 2))
+        weights = self.pieces.logp
+        for low in range(1, self.n + 1, self.CHUNK):
+            high = min(self.n + 1, low + self.CHUNK)
+            first = int(bounds[low])
+            cuts = (bounds[low : high + 1] - first).tolist()
+            back = (here[first : bounds[high]] - other[first : bounds[high]]).tolist()
+            gain = weights[numbers[first : bounds[high]]].tolist()
+            alone = spelled[low - 1 : high - 1].tolist()
+            for i in range(high - low):
+                terms = [recent[-back[x]] + gain[x] for x in range(cuts[i], cuts[i + 1])]
+                terms.append(recent[-1] + alone[i])
+                top = max(terms)
+                value = top + math.log(sum(math.exp(t - top) for t in terms))
+                recent.append(value)
+                out[low + i] = value
+                if len(recent) > 4 * longest + 64:
+                    del recent[: -longest - 1]
+        return out
+
+    def forward(self) -> np.ndarray:
+        order = np.argsort(self.ends, kind="stable")
+        return self._run(self.ends[order], self.starts[order], self.numbers[order], self.spelled)
+
+    def expected(self, weight: float, counts: np.ndarray) -> float:
+        """As of ``Lattice``, for the one word."""
+        alpha = self.forward()
+        order = np.argsort(-self.starts, kind="stable")  # the word read backwards
+        beta = self._run(self.n - self.starts[order], self.n - self.ends[order], self.numbers[order], self.spelled[::-1])[::-1]
+        share = np.exp(alpha[self.starts] + self.pieces.logp[self.numbers] + beta[self.ends] - alpha[-1])
+        counts += np.bincount(self.numbers, share * weight, len(counts))
+        return float(np.exp(alpha[:-1] + self.spelled + beta[1:] - alpha[-1]).sum() * weight)
 
 
 def _text(c: str):
@@ -236,6 +300,9 @@ def fit(words: DataFrame, ends: int, pieces: Pieces) -> Pieces:
         for b in batches:
             texts, n = b.column(0).to_pylist(), b.column(1).to_numpy().astype(float)
             for some, points in _grouped(texts):
+                if points.shape[1] > LONG_WORD:
+                    spelled += LongWord(points[0], own).expected(float(n[some[0]]), counts)
+                    continue
                 with np.errstate(over="ignore"):
                     spelled += Lattice(points, own).expected(n[some], counts)
         at = np.flatnonzero(counts)
@@ -252,6 +319,21 @@ def fit(words: DataFrame, ends: int, pieces: Pieces) -> Pieces:
     return pieces.reweighted(counts, spelled, ends)
 
 
+def _commonest(counts: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` of the words of the highest counts: all those of a count or more.
+
+    The count comes from a histogram in steps of a twentieth of a natural logarithm, so that no
+    task sends more than its own part of the words.
+    """
+    step = F.floor(F.log(F.col("n")) * 20)
+    left, least = most, None
+    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), key=lambda r: -r.step):
+        if r["count"] > left:
+            break
+        left, least = left - r["count"], r.step
+    return counts.where(step >= least) if least is not None else counts.where("false")
+
+
 def score(
     docs: DataFrame,
     *,
@@ -285,7 +367,7 @@ def score(
         first = fit(counts, ends, first)
     pieces = spark.sparkContext.broadcast(first)
 
-    head = counts.orderBy(F.desc("n"), "word").limit(head_words).collect()  # a fixed number of words
+    head = _commonest(counts, head_words).collect()
     spelled = [r.word for r in head]
     with np.errstate(over="ignore"):
         table = {w.encode(): i for i, w in enumerate(spelled)}
@@ -300,15 +382,18 @@ def score(
             n_tokens, n_known, base, total, words, uses = [], [], [], [], [], []
             for t in b.column(2):
                 bag = Counter(t.as_buffer().to_pybytes().lower().split())
-                at = [(i, n) for w, n in bag.items() if (i := known.get(w)) is not None]
-                rest = {w.decode(): n for w, n in bag.items() if w not in known}
-                i, n = np.array(at, np.int64).reshape(-1, 2).T
-                n_tokens.append(sum(bag.values()) + 1)
+                size = len(bag)
+                numbers = np.fromiter(map(known.get, bag, repeat(-1)), np.int64, size)
+                counts = np.fromiter(bag.values(), np.int64, size)
+                common = numbers >= 0
+                i, n = numbers[common], counts[common]
+                rest = [w.decode() for w, other in zip(bag, (~common).tolist()) if other]
+                n_tokens.append(int(counts.sum()) + 1)
                 n_known.append(int(n.sum()) + (ends > 0))
                 base.append(float(weights[0, i] @ n) + end_base)
                 total.append(float(weights[1, i] @ n) + end_score)
-                words.append(list(rest))
-                uses.append(list(rest.values()))
+                words.append(rest)
+                uses.append(counts[~common].tolist())
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip((n_tokens, n_known, base, total, words, uses), kinds))], names=names)
 
