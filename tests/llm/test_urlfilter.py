@@ -76,7 +76,7 @@ PAGES = [
 EDGES = [
     ("http://alias.io/a", "http://b.com/en/1"),
     ("http://alias.io/b", "http://alias.io/a"),
-    ("http://alias.io/c", "http://alias.io/b?"),
+    ("http://alias.io/c", "http://alias.io/b"),
     ("http://alias.io/d", "http://alias.io/b"),
     ("http://other.io/x", "http://b.com/en/2"),
     ("http://other.io/x", "http://example.com/en/7"),

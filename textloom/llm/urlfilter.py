@@ -8,6 +8,12 @@ rule allows one of the component's URLs, which comes first.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from html import unescape
+from urllib.parse import urljoin
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +24,10 @@ RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/
 #: Rules are held by every expression up to this number; beyond it they are joined.
 INLINE_RULES = 256
 
-_TAG = r"(?is)<(?:link|meta)\b[^>]*>"
+_HIDDEN = re.compile(r"<!--.*?-->|<script\b.*?</script\s*>", re.DOTALL | re.IGNORECASE)
+_TAG = re.compile(r"<(?:link|meta)\b[^>]*>", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""\s([a-z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+_REFRESH = re.compile(r"""[\d.\s]*[;,]?\s*url\s*=\s*["']?([^"']*)""", re.IGNORECASE)
 
 
 def host_of(url: Column) -> Column:
@@ -72,49 +81,39 @@ def resource(url: Column) -> Column:
     return F.concat(lower_ascii(head), F.substring(bare, F.length(head) + 1, F.length(bare)))
 
 
-def _resolved(links: DataFrame) -> DataFrame:
-    """(source, target) of ``links`` (url, href): absolute, scheme-relative, rooted, query-only or in the same folder.
+def page_links(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(source, target): canonical links and meta refreshes that pages declare, comments and scripts left out.
 
-    Built in steps, each of which uses the columns of the one before, so that no expression is
-    spelled out again and again in the plan.
+    Only pages that name one of them at all are looked at beyond a search for the words.
     """
-    url, href = F.col("url"), F.col("href")
-    parts = links.where(href != "").withColumns(
-        {
-            "scheme": F.regexp_extract(url, r"(?s)^(.*?:)//", 1),
-            "site": F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1),
-            "page": F.regexp_extract(url, r"(?s)^([^?#]*)", 1),
-            "folder": F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*/)", 1),
-            "kind": F.regexp_extract(href, r"^([A-Za-z][A-Za-z0-9+.\-]*:(?://)?|//|[/?#])", 1),
-        }
-    )
-    target = (
-        F.when(F.endswith("kind", F.lit("://")), href)
-        .when(F.endswith("kind", F.lit(":")), F.lit(None))
-        .when(F.col("kind") == "//", F.concat("scheme", href))
-        .when(F.col("kind") == "/", F.concat("site", href))
-        .when(F.col("kind") == "?", F.concat("page", href))
-        .when(F.col("kind") == "#", F.col("page"))
-        .when(F.col("folder") == "", F.concat("site", F.lit("/"), href))
-        .otherwise(F.concat("site", "folder", href))
-    )
-    return parts.select(url.alias("source"), target.alias("target")).where("target is not null")
-
-
-def _attribute(tag: Column, name: str) -> Column:
-    """Its value with the quotes around it, if any."""
-    return F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
-
-
-def page_links(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(source, target): canonical links and meta refreshes that pages declare, comments and scripts left out."""
     some = pages.where(F.col(url_col).contains("://")).where(F.rlike(F.col(html_col), F.lit(r"(?i)\bcanonical\b|\brefresh\b")))
-    bare = F.regexp_replace(F.col(html_col), r"(?is)<!--.*?-->|<script\b.*?</script\s*>", " ")
-    tags = some.select(F.col(url_col).alias("url"), F.explode(F.regexp_extract_all(bare, F.lit(_TAG), F.lit(0))).alias("tag"))
-    canonical = F.rlike("tag", F.lit(r"(?i)^<link")) & F.rlike(_attribute(F.col("tag"), "rel"), F.lit(r"(?i)(?:^|[\s\"'])canonical(?:[\s\"']|$)"))
-    refresh = F.rlike("tag", F.lit(r"(?i)^<meta")) & F.rlike(_attribute(F.col("tag"), "http-equiv"), F.lit(r"(?i)^[\s\"']*refresh[\s\"']*$"))
-    raw = tags.select("url", F.when(canonical, _attribute(F.col("tag"), "href")).when(refresh, F.regexp_extract(_attribute(F.col("tag"), "content"), r"(?is)^[\"'\s\d.]*[;,]?\s*url\s*=(.*)$", 1)).alias("raw"))
-    return _resolved(raw.select("url", F.replace(F.regexp_replace("raw", r"(?s)^[\s\"']+|[\s\"']+$", ""), F.lit("&amp;"), F.lit("&")).alias("href")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(url, to) for url, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for to in declared(url, html)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in (0, 1)], names=["source", "target"])
+
+    return some.select(F.col(url_col).cast("string"), F.col(html_col).cast("string")).mapInArrow(run, "source string, target string")
+
+
+def declared(url: str, html: str) -> list[str]:
+    """URLs that a page names as its canonical address or sends its readers to."""
+    out = []
+    for tag in _TAG.findall(_HIDDEN.sub(" ", html)):
+        attributes = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "").strip() for m in reversed(list(_ATTRIBUTE.finditer(tag)))}  # the first of equal names
+        href = None
+        if tag[1].lower() == "l" and "canonical" in attributes.get("rel", "").lower().split():
+            href = attributes.get("href")
+        elif tag[1].lower() == "m" and attributes.get("http-equiv", "").lower() == "refresh" and (m := _REFRESH.match(attributes.get("content", ""))):
+            href = m[1]
+        if href:
+            try:
+                target = urljoin(url, href)
+            except ValueError:
+                continue
+            if "://" in target:
+                out.append(target)
+    return out
 
 
 def judge(pages: DataFrame, *, rules=RULES, redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html") -> DataFrame:
