@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _WORD = "[0-9A-Za-z_]"
@@ -29,13 +29,40 @@ PATTERNS = (
     ("strip_boards", r"(?U)/?r/\S+", ""),
     ("strip_numbers", rf"(?U){_EDGE}\d{{6,}}{_EDGE}", ""),
     ("collapse_punct", r"([!?.,:;])\1{2,}", "$1$1"),
-    ("collapse_ws", r"(?U)\s+", " "),
+    ("collapse_ws", r"(?U) \s+|[^\S ]\s*", " "),  # single spaces are left as they are
 )
 
 
+#: What a text must hold for a rule to match at all, cheaper to look for than the rule's pattern:
+#: a literal, or a pattern after ``~``.
+_SIGNS = {
+    "strip_markdown": "](",
+    "strip_urls": "://",
+    "strip_emails": "@",
+    "strip_hashes": "~[0-9a-fA-F]{32}",
+    "strip_hex": "0x",
+    "strip_paths": "/",
+    "strip_versions": r"~\p{Nd}\.\p{Nd}+\.\p{Nd}",
+    "strip_issues": "#",
+    "strip_users": "u/",
+    "strip_boards": "r/",
+    "strip_numbers": r"~\p{Nd}{6}",
+    "collapse_punct": "~[!?.,:;]{3}",
+}
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated a single time, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def pattern_step(name: str) -> Callable[[Column], Column]:
     pattern, to = next((p, t) for n, p, t in PATTERNS if n == name)
-    return lambda text: F.regexp_replace(text, pattern, to)
+    sign = _SIGNS.get(name)
+    if sign is None:
+        return lambda text: F.regexp_replace(text, pattern, to)
+    holds = (lambda x: F.rlike(x, F.lit(sign[1:]))) if sign[0] == "~" else (lambda x: F.contains(x, F.lit(sign)))
+    return lambda text: once(text, lambda x: F.when(holds(x), F.regexp_replace(x, pattern, to)).otherwise(x))
 
 
 def trim_lower(text: Column, lowercase: bool = True) -> Column:
@@ -45,12 +72,7 @@ def trim_lower(text: Column, lowercase: bool = True) -> Column:
 
 def alpha_words(text: Column) -> Column:
     """Words with an alphabetic character, one space between."""
-    return F.array_join(F.filter(F.split(text, " "), lambda w: F.rlike(w, F.lit(r"\p{IsAlphabetic}"))), " ")
-
-
-def once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` evaluated a single time, however often ``use`` names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    return F.rtrim(F.regexp_replace(text, r"(?<=^| )[^\p{IsAlphabetic} ]*(?: |\z)", ""))
 
 
 def truncate_bytes(text: Column, most: int) -> Column:
@@ -73,8 +95,18 @@ def reject_short(text: Column, min_bytes: int) -> Column:
 
 def normalize(text: Column, *, lowercase: bool = True, max_bytes: int = 256, min_bytes: int = 10, prefix: str = "passage: ") -> Column:
     """The whole chain; null where nothing long enough is left. The prefix counts in no limit."""
-    for _, pattern, to in PATTERNS:
-        text = F.regexp_replace(text, pattern, to)
+    for name, _, _ in PATTERNS:
+        text = pattern_step(name)(text)
     text = truncate_bytes(alpha_words(trim_lower(text, lowercase)), max_bytes)
     text = reject_short(text, min_bytes)
     return F.concat(F.lit(prefix), text) if prefix else text
+
+
+def surviving(df: DataFrame, text: Column, *keep: str, name: str = "norm_text", **options) -> DataFrame:
+    """``keep`` columns and the normalized text of rows that something is left of.
+
+    The text is exploded from an array of one or none, so that the chain is evaluated once and
+    not again in a filter that is pushed below it.
+    """
+    left = F.filter(F.array(normalize(text, **options)), lambda x: x.isNotNull())
+    return df.select(*keep, F.explode(left).alias(name))

@@ -16,9 +16,10 @@ def fnv1a(data: bytes) -> int:
     return h
 
 
-def distinct_texts(df: DataFrame, text: str) -> DataFrame:
-    """(text, n): every text once with its number of rows."""
-    return df.where(F.col(text).isNotNull()).groupBy(text).agg(F.count("*").alias("n"))
+def distinct_texts(df: DataFrame, text: str, *, nulls: bool = True) -> DataFrame:
+    """(text, n): every text once with its number of rows; ``nulls`` says that null texts may occur."""
+    rows = df.groupBy(text).agg(F.count("*").alias("n"))
+    return rows.where(F.col(text).isNotNull()) if nulls else rows
 
 
 def once_per_text(df: DataFrame, text: str, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -27,10 +28,10 @@ def once_per_text(df: DataFrame, text: str, work: Callable[[DataFrame], DataFram
     Counts are combined before the shuffle; a text that holds most rows is split by Spark's
     skewed-join handling, as its own row on the other side is one.
     """
-    done = work(df.where(F.col(text).isNotNull()).select(text).distinct())
+    done = work(distinct_texts(df, text).select(text))
     return df.join(done, text, "left")
 
 
-def stats(df: DataFrame, text: str) -> DataFrame:
+def stats(df: DataFrame, text: str, *, nulls: bool = True) -> DataFrame:
     """One row: rows with a text, distinct texts, and the rows that shared another's work."""
-    return distinct_texts(df, text).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("*").alias("dedup_size")).withColumn("dedup_hits", F.col("rows") - F.col("dedup_size"))
+    return distinct_texts(df, text, nulls=nulls).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("*").alias("dedup_size")).withColumn("dedup_hits", F.col("rows") - F.col("dedup_size"))

@@ -267,17 +267,17 @@ _NORM_DOCS_SQL = _normalized_sql("documents", "doc_id", "text")
 
 
 def _norm_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalize_full(spark, sf_dir).where("norm_text is not null")
+    return norm.surviving(_table(spark, sf_dir, "documents"), F.col("text"), "doc_id")
 
 
 @_query(f"SELECT norm_text, count(*) AS n FROM ({_NORM_DOCS_SQL}) WHERE norm_text IS NOT NULL GROUP BY norm_text")
 def dedup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.distinct_texts(normalize_full(spark, sf_dir), "norm_text")
+    return dedup.distinct_texts(_norm_docs(spark, sf_dir), "norm_text", nulls=False)
 
 
 @_query(f"SELECT count(norm_text) AS rows, count(DISTINCT norm_text) AS dedup_size, count(norm_text) - count(DISTINCT norm_text) AS dedup_hits FROM ({_NORM_DOCS_SQL})")
 def dedup_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.stats(normalize_full(spark, sf_dir), "norm_text")
+    return dedup.stats(_norm_docs(spark, sf_dir), "norm_text", nulls=False)
 
 
 _TOP_SQL = r"""

@@ -42,19 +42,21 @@ ENCODED = T.StructType(
         T.StructField("hits", T.LongType()),
         T.StructField("runtime_hits", T.LongType()),
         T.StructField("misses", T.LongType()),
-        T.StructField("row_key", T.LongType()),
+        T.StructField("seq", T.LongType()),
+        T.StructField("id", T.StringType()),
     ]
 )
 
 
 def encode_texts(texts: DataFrame, config: EmbedConfig, encoder: Encoder, make_tokenizer: Callable[[], Callable[[str], list[int]]]) -> DataFrame:
-    """ENCODED rows of (norm_text[, row_key]): tokenized, batched by bucket within each task, encoded.
+    """ENCODED rows of (norm_text[, seq, id]): tokenized, batched by bucket within each task, encoded.
 
     A batch holds rows of one bucket, at most its batch size; a batch that fails marks its own
-    rows only. Tasks keep one unfinished batch a bucket, which is all the memory they need.
+    rows only. Rows without a text pass through. Tasks keep one unfinished batch a bucket, which
+    is all the memory they need.
     """
     buckets, sizes = config.buckets, config.scaled(encoder.dim)
-    keyed = texts if "row_key" in texts.columns else texts.withColumn("row_key", F.lit(0).cast("long"))
+    keyed = texts if "seq" in texts.columns else texts.select("norm_text", F.lit(None).cast("long").alias("seq"), F.lit(None).cast("string").alias("id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -63,7 +65,7 @@ def encode_texts(texts: DataFrame, config: EmbedConfig, encoder: Encoder, make_t
         part = context.partitionId() if context else 0
         encoder.load()
         tokenize = make_tokenizer()
-        waiting: list[list[tuple[str, int, list[int]]]] = [[] for _ in buckets]
+        waiting: list[list[tuple[str, tuple, list[int]]]] = [[] for _ in buckets]
         done = [0] * len(buckets)
         before = [0, 0, 0]
 
@@ -97,24 +99,34 @@ def encode_texts(texts: DataFrame, config: EmbedConfig, encoder: Encoder, make_t
                     pa.array([failed] * n),
                     values,
                     *(pa.array(c, pa.int64()) for c in first),
-                    pa.array([r for _, r, _ in rows], pa.int64()),
+                    pa.array([r[0] for _, r, _ in rows], pa.int64()),
+                    pa.array([r[1] for _, r, _ in rows], pa.string()),
                 ],
                 names=ENCODED.names,
             )
 
+        def passed(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.bool_(), pa.list_(pa.float32()), *[pa.int64()] * 3]
+            return pa.RecordBatch.from_arrays([*(pa.array([None] * len(rows), k) for k in kinds), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=ENCODED.names)
+
         for b in batches:
-            for text, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            empty = []
+            for text, *key in zip(*(c.to_pylist() for c in b.columns)):
+                if text is None:
+                    empty.append(key)
+                    continue
                 tokens = tokenize(text)
-                k = int(np.searchsorted(buckets, len(tokens)))
-                k = min(k, len(buckets) - 1)
+                k = min(int(np.searchsorted(buckets, len(tokens))), len(buckets) - 1)
                 waiting[k].append((text, key, tokens))
                 if len(waiting[k]) >= sizes[k]:
                     yield flush(k)
+            if empty:
+                yield passed(empty)
         for k in range(len(buckets)):
             if waiting[k]:
                 yield flush(k)
 
-    return keyed.select("norm_text", "row_key").mapInArrow(run, ENCODED)
+    return keyed.select("norm_text", "seq", "id").mapInArrow(run, ENCODED)
 
 
 @dataclass
@@ -180,19 +192,14 @@ class Engine:
         """``messages`` with norm_text, status and what the encoder made of them; nothing runs yet."""
         c = self.config
         text = normalize(F.col("text"), lowercase=c.lowercase, max_bytes=c.truncation, min_bytes=c.min_bytes, prefix=c.prefix)
-        rows = messages.select("seq", "id", text.alias("norm_text"))
+        rows = messages.select(F.col("seq").cast("long").alias("seq"), F.col("id").cast("string").alias("id"), text.alias("norm_text"))
         if c.dedup_capacity:
-            out = once_per_text(rows, "norm_text", lambda texts: encode_texts(texts, c, self.encoder, self.make_tokenizer).drop("row_key"))
-        else:
-            out = self._each(rows)
+            out = once_per_text(rows, "norm_text", lambda texts: encode_texts(texts, c, self.encoder, self.make_tokenizer).drop("seq", "id"))
+        else:  # one pass, nothing is shuffled
+            out = encode_texts(rows, c, self.encoder, self.make_tokenizer)
         status = F.when(F.col("norm_text").isNull(), "skipped").when(F.col("failed"), "failed").otherwise("ok")
         return out.withColumn("status", status)
 
-    def _each(self, rows: DataFrame) -> DataFrame:
-        done = encode_texts(rows.where("norm_text is not null").select("norm_text", F.col("seq").alias("row_key")), self.config, self.encoder, self.make_tokenizer)
-        ids = rows.select("seq", "id", F.col("norm_text").isNull().alias("empty"))
-        return ids.join(done.withColumnRenamed("row_key", "seq"), "seq", "left").drop("empty")
-
     def embed(self, messages: DataFrame) -> EmbedResult:
         """Vectors for every message; the encoded rows are stored once and read by result and statistics."""
         started = time.time()
