@@ -77,7 +77,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def spread(scan: DataFrame) -> DataFrame:
+def spread(scan: DataFrame, parts_per_core: int = 1) -> DataFrame:
     """``scan`` dealt over all cores where its files can't be split into as many parts.
 
     Small or compressed inputs arrive in few partitions; what follows is heavier than dealing
@@ -85,4 +85,4 @@ def spread(scan: DataFrame) -> DataFrame:
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     parts = scan._jdf.queryExecution().toRdd().getNumPartitions()
-    return scan if parts >= cores else scan.repartition(cores)
+    return scan if parts >= parts_per_core * cores else scan.repartition(cores)
