@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textloom.shared import spread
+
 from . import chat, decontam, langid, lattice, mixing, pagetext, quality, sharding, simhash, urlfilter
 from .common import work_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
