@@ -1,7 +1,9 @@
 """Named queries over the driver's tables and the DuckDB SQL that must agree with them.
 
 Each query runs an operator of the engine over its whole table. Rules of the normalizer that
-the tables hardly meet are run on texts with noise added at their end.
+the tables hardly meet are run on texts with noise added at their end: the queries named after
+the rules, and normalize_noise, on the first 120 characters of each text, as their SQL does;
+those whose names end in _whole on the whole text.
 """
 
 from __future__ import annotations
@@ -49,9 +51,9 @@ NOISE = (
 )
 
 
-def _noisy(x: Column, key: Column) -> Column:
+def _noisy(x: Column, key: Column, *, whole: bool = False) -> Column:
     noise = F.element_at(F.array(*[F.lit(n) for n in NOISE]), (key % len(NOISE) + 1).cast("int"))
-    return F.concat(F.substring(x, 1, 120), noise)
+    return F.concat(x if whole else F.substring(x, 1, 120), noise)
 
 
 _S, _NS = r"[\s\x{0B}\x{85}\p{Z}]", r"[^\s\x{0B}\x{85}\p{Z}]"
@@ -95,6 +97,7 @@ def _sql_cut(x: str, most: int) -> str:
 
 
 _SQL_NOISE = "substr(text, 1, 120) || ([" + ", ".join("'" + n + "'" for n in NOISE) + f"])[doc_id % {len(NOISE)} + 1]"
+_SQL_WHOLE_NOISE = "text || ([" + ", ".join("'" + n + "'" for n in NOISE) + f"])[doc_id % {len(NOISE)} + 1]"
 
 
 def _chain_sql(x: str) -> str:
@@ -110,21 +113,23 @@ def _normalized_sql(source: str, key: str, x: str, *, most: int = 256, least: in
     """
 
 
-def _add_step(name: str) -> None:
+def _add_step(name: str, whole: bool) -> None:
     def query(spark: SparkSession, sf_dir: str, name=name) -> DataFrame:
         docs = _table(spark, sf_dir, "documents")
-        x = _noisy(F.col("text"), F.col("doc_id"))
+        x = _noisy(F.col("text"), F.col("doc_id"), whole=whole)
         own = {"trim_lower": norm.trim_lower, "alpha_words": lambda c: norm.alpha_words(F.regexp_replace(c, r"(?U)\s+", " "))}
         return docs.select("doc_id", (own[name] if name in own else norm.pattern_step(name))(x).alias("out"))
 
-    QUERIES[name] = query
-    x = f"({_SQL_NOISE})"
+    at = f"{name}_whole" if whole else name
+    QUERIES[at] = query
+    x = f"({_SQL_WHOLE_NOISE if whole else _SQL_NOISE})"
     x = _sql_step("collapse_ws", x) if name == "alpha_words" else x
-    ORACLE_SQL[name] = f"SELECT doc_id, {_sql_step(name, x)} AS out FROM documents"
+    ORACLE_SQL[at] = f"SELECT doc_id, {_sql_step(name, x)} AS out FROM documents"
 
 
 for _name in _SQL_PATTERNS:
-    _add_step(_name)
+    _add_step(_name, False)
+    _add_step(_name, True)
 
 
 @_query(f"SELECT doc_id, {_sql_cut('text', 100)} AS out FROM documents")
@@ -152,6 +157,13 @@ def normalize_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _normal(_table(spark, sf_dir, "documents"), ["doc_id"], _noisy(F.col("text"), F.col("doc_id")))
 
 
+@_query(f"SELECT doc_id, CASE WHEN strlen(z) >= 10 THEN 'passage: ' || z END AS norm_text FROM (SELECT doc_id, {_chain_sql(f'({_SQL_WHOLE_NOISE})')} AS z FROM documents)")
+def normalize_noise_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts in, and whole texts out: nothing is cut to a number of bytes."""
+    x = _noisy(F.col("text"), F.col("doc_id"), whole=True)
+    return _table(spark, sf_dir, "documents").select("doc_id", norm.normalize(x, max_bytes=0).alias("norm_text"))
+
+
 @_query(_normalized_sql("conversations", "conv_id, turn", "text"))
 def normalize_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _normal(_table(spark, sf_dir, "conversations"), ["conv_id", "turn"], F.col("text"))
