@@ -1,0 +1,43 @@
+import numpy as np
+
+from textloom.llm import quality
+
+
+def words(name, n):
+    return [f"{name}{k}" for k in range(n)]
+
+
+def lines(tokens, n=10):
+    return "\n".join(" ".join(tokens[i : i + n]) for i in range(0, len(tokens), n))
+
+
+MENU = "\n".join(" ".join(words(f"menu{j}x", 30)) for j in range(6))
+
+
+def kept(spark, texts):
+    df = spark.createDataFrame([(i, t, "h") for i, t in enumerate(texts)], "doc_id long, text string, source string").repartition(3)
+    return [r.kept for r in sorted(quality.judge(df).collect(), key=lambda r: r.doc_id)]
+
+
+def test_pages_of_one_block_and_different_texts_are_depleted(spark):
+    pages = [MENU + "\n" + lines(words(f"own{i}y", 60)) for i in range(60)]
+    assert not any(kept(spark, pages))
+
+
+def test_near_copies_stay_and_their_pages_do_not(spark):
+    base = words("w", 300)
+    copies = [lines([w if k != 7 * i % 300 else f"changed{i}" for k, w in enumerate(base)]) for i in range(60)]
+    pages = [MENU + "\n" + lines(words(f"own{i}y", 60)) for i in range(60)]
+    assert kept(spark, copies + pages) == [True] * 60 + [False] * 60
+
+
+def test_sketch_estimates_the_overlap():
+    def overlap(a, b):
+        x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b))
+        return len(x & y) / len(x | y)
+
+    base = words("w", 3000)
+    for every in (20, 50, 150, 5000):
+        other = [w if k % every else "c" + w for k, w in enumerate(base)]
+        found = np.mean(quality._sketch(" ".join(base).encode()) == quality._sketch(" ".join(other).encode()))
+        assert abs(found - overlap(base, other)) < 0.15
