@@ -49,8 +49,8 @@ METRICS = T.StructType(
 )
 
 _rng = np.random.default_rng(42)
-_FACTORS = _rng.integers(0, 1 << 63, MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
-_OFFSETS = _rng.integers(0, 1 << 63, MINIMA, np.uint64)
+_FACTORS = _rng.integers(0, 1 << 31, MINIMA, np.uint32) * np.uint32(2) + np.uint32(1)
+_OFFSETS = _rng.integers(0, 1 << 32, MINIMA, np.uint32)
 _POWERS = _rng.integers(0, 1 << 63, SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -97,12 +97,14 @@ def _sketch(text: bytes) -> np.ndarray:
     shingles = np.zeros(n, np.uint64)
     for k in range(min(SHINGLE, len(words))):
         shingles += words[k : k + n] * _POWERS[k]
-    shingles ^= shingles >> np.uint64(32)
-    least = np.full(MINIMA, (1 << 64) - 1, np.uint64)
-    for at in range(0, n, 512):
-        mixed = shingles[at : at + 512, None] * _FACTORS + _OFFSETS
+    shingles ^= shingles >> np.uint64(29)
+    hashes = (shingles * _POWERS[0] >> np.uint64(32)).astype(np.uint32)
+    least = np.full(MINIMA, (1 << 32) - 1, np.uint32)
+    for at in range(0, n, 256):  # 32-bit lanes, small enough for the cache
+        mixed = hashes[at : at + 256, None] * _FACTORS
+        mixed += _OFFSETS
         np.minimum(least, mixed.min(0), out=least)
-    return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return least.view(np.int32)
 
 
 def measure(text: bytes) -> tuple[int, int, int, int, int, int, list[int], list[int], np.ndarray]:
