@@ -2,12 +2,34 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.shared import drop, hadoop_path, remove, shared_dir, shuffle_partitions, store, work_dir
 
-__all__ = ["BROADCAST_IDS", "connected_components", "crc_fold", "drop", "hadoop_path", "lower_ascii", "n_words", "remove", "shared_dir", "shuffle_partitions", "store", "without", "work_dir"]
+__all__ = [
+    "BROADCAST_KEYS",
+    "connected_components",
+    "crc_fold",
+    "digest",
+    "drop",
+    "hadoop_path",
+    "lower_ascii",
+    "n_words",
+    "quoted",
+    "remove",
+    "row_digest",
+    "shared_dir",
+    "shuffle_partitions",
+    "store",
+    "unused",
+    "within",
+    "without",
+    "work_dir",
+]
 
 #: ASCII white space, the only separator of words.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -29,18 +51,54 @@ def crc_fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-#: Ids that are sent to every task: eight bytes each, and a few times that in a hash table.
-BROADCAST_IDS = 2_000_000
+#: Row keys that are sent to every task: a few longs each, and a few times that in a hash table.
+BROADCAST_KEYS = 2_000_000
 
 
-def without(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose id is in ``ids`` (a stored column __id, each id once).
+def unused(stem: str, *frames: DataFrame) -> str:
+    """A column name that none of ``frames`` has, whatever the case of its letters."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
 
-    The ids are counted: up to BROADCAST_IDS of them go to the texts; beyond, the texts are
-    shuffled to the ids.
-    """
-    few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids.hint("merge"), docs[id_col].eqNullSafe(F.col("__id")), "left_anti")
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def digest(*values: Column) -> list[Column]:
+    """Two 64-bit hashes of ``values`` with independent seeds: rows equal in both are taken as equal."""
+    return [F.xxhash64(*values), F.xxhash64(F.lit(1), *values)]
+
+
+def row_digest(docs: DataFrame) -> list[Column]:
+    """``digest`` of all columns; what can't be hashed as it is (maps) is hashed as JSON. Nulls are told from empty values."""
+    cells = []
+    for f in docs.schema.fields:
+        c = F.col(quoted(f.name))
+        plain = not any(t in f.dataType.simpleString() for t in ("map<", "variant", "geo"))
+        cells += [c.isNull(), c if plain else F.to_json(F.struct(c.alias("v")))]
+    return digest(*cells)
+
+
+def without(docs: DataFrame, key: list[Column], gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose ``key`` (expressions over ``docs``) is a row of ``gone`` (stored, each once)."""
+    return _by_key(docs, key, gone, "left_anti")
+
+
+def within(docs: DataFrame, key: list[Column], kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``key`` is a row of ``kept`` (stored, each once)."""
+    return _by_key(docs, key, kept, "left_semi")
+
+
+def _by_key(docs: DataFrame, key: list[Column], keys: DataFrame, how: str) -> DataFrame:
+    """The keys are counted: up to BROADCAST_KEYS go to the rows; beyond, the rows are shuffled to the keys. Nulls equal nulls."""
+    few = keys.count() <= BROADCAST_KEYS
+    named = keys.toDF(*[unused(f"key{i}", docs) for i in range(len(key))])
+    named = F.broadcast(named) if few else named.hint("merge")
+    same = [k.eqNullSafe(F.col(quoted(n))) for k, n in zip(key, named.columns, strict=True)]
+    return docs.join(named, reduce(and_, same), how)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

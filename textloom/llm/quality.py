@@ -1,11 +1,10 @@
 """Quality rules: per-text counts, and lines that too many documents of a host share.
 
 Normalised lines are hashed; distinct documents are counted for each host and line; lines above
-the host's limit are taken out, and documents that little is left of are rejected. Copies of one
-document are no boilerplate: texts that hold a widely shared line and whose five-word shingles
-overlap by 0.8 or more are linked, and linked texts count once, however many there are, while a
-menu or licence line counts once for every other text that it was added to. The overlap is
-estimated by MinHash (128 minima, a standard error of 0.035 at 0.8).
+the host's limit are taken out, and documents that little is left of are rejected. Documents of a
+host whose normalised lines are the same, one after another, are one document, so that copies of
+a text, however many, do not make its lines boilerplate. Nothing else is told apart from plain
+counts: a text that many documents of a host repeat with changes is above the limit, too.
 """
 
 from __future__ import annotations
@@ -18,16 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, drop, store, without
+from .common import BROADCAST_KEYS, digest, drop, store, without
 
 #: A line is above the limit when more distinct documents of its host hold it than this number...
 MIN_DOCS = 10
 #: ...and more than this share of the host's distinct documents.
 MIN_SHARE = 0.005
-#: Texts are copies of one document when their word shingles overlap by this (Jaccard) or more.
-COPY_OVERLAP = 0.8
-#: Words of a shingle, minima of a sketch, and minima that two texts must share in some band.
-SHINGLE, MINIMA, BAND = 5, 128, 5
 #: A document is depleted when less than this share of its words is left.
 LEFT_SHARE = 0.3
 
@@ -41,18 +36,12 @@ METRICS = T.StructType(
         T.StructField("n_symbols", T.LongType(), False),
         T.StructField("n_dup_lines", T.LongType(), False),
         T.StructField("n_repeat_words", T.LongType(), False),
-        T.StructField("text_hash", T.LongType(), False),
+        T.StructField("lines_hash", T.LongType(), False),
         T.StructField("line_hash", T.ArrayType(T.LongType(), False), False),
         T.StructField("line_words", T.ArrayType(T.LongType(), False), False),
-        T.StructField("sketch", T.ArrayType(T.IntegerType(), False), False),
     ]
 )
 
-_rng = np.random.default_rng(42)
-_FACTORS = _rng.integers(0, 1 << 31, MINIMA, np.uint32) * np.uint32(2) + np.uint32(1)
-_OFFSETS = _rng.integers(0, 1 << 32, MINIMA, np.uint32)
-_POWERS = _rng.integers(0, 1 << 63, SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
-
 
 def _repeat_words(tokens: list[bytes]) -> int:
     """Words inside 3-word windows that occur twice or more in the text."""
@@ -84,30 +73,7 @@ def _repeat_words(tokens: list[bytes]) -> int:
     return int(inside.sum())
 
 
-def _sketch(text: bytes) -> np.ndarray:
-    """MinHash of the text's word shingles, ASCII letters lowered; fewer words are one shingle."""
-    import xxhash
-
-    number: dict[bytes, int] = {}
-    ids = [number.setdefault(w, len(number)) for w in text.lower().split()]
-    if not ids:
-        return np.full(MINIMA, -1, np.int32)
-    words = np.array([xxhash.xxh64_intdigest(w) for w in number], np.uint64)[ids]
-    n = max(1, len(words) - SHINGLE + 1)
-    shingles = np.zeros(n, np.uint64)
-    for k in range(min(SHINGLE, len(words))):
-        shingles += words[k : k + n] * _POWERS[k]
-    shingles ^= shingles >> np.uint64(29)
-    hashes = (shingles * _POWERS[0] >> np.uint64(32)).astype(np.uint32)
-    least = np.full(MINIMA, (1 << 32) - 1, np.uint32)
-    for at in range(0, n, 256):  # 32-bit lanes, small enough for the cache
-        mixed = hashes[at : at + 256, None] * _FACTORS
-        mixed += _OFFSETS
-        np.minimum(least, mixed.min(0), out=least)
-    return least.view(np.int32)
-
-
-def measure(text: bytes) -> tuple[int, int, int, int, int, int, list[int], list[int], np.ndarray]:
+def measure(text: bytes) -> tuple[int, int, int, int, int, int, list[int], list[int]]:
     """The METRICS of one text; line_hash has each distinct line with a word once, line_words its words in all."""
     import xxhash
 
@@ -117,6 +83,7 @@ def measure(text: bytes) -> tuple[int, int, int, int, int, int, list[int], list[
         chars -= len(text.translate(None, _NOT_CONTINUED))
     lines: dict[bytes, None] = {}
     weight: dict[bytes, int] = {}
+    whole = xxhash.xxh64()
     dup = 0
     for line in text.split(b"\n"):
         words = line.split()
@@ -127,18 +94,17 @@ def measure(text: bytes) -> tuple[int, int, int, int, int, int, list[int], list[
         lines[line] = None
         normal = b" ".join(words).lower()
         weight[normal] = weight.get(normal, 0) + len(words)
-    digest = xxhash.xxh64_intdigest
-    signed = np.array([digest(x) for x in weight], np.uint64).view(np.int64).tolist()
+        whole.update(normal + b"\n")
+    hashes = np.array([xxhash.xxh64_intdigest(x) for x in weight], np.uint64).view(np.int64).tolist()
     return (
         len(tokens),
         chars,
         len(text.translate(None, _NOT_SYMBOLS)),
         dup,
         _repeat_words(tokens),
-        int(np.uint64(digest(text)).view(np.int64)),
-        signed,
+        int(np.uint64(whole.intdigest()).view(np.int64)),
+        hashes,
         list(weight.values()),
-        _sketch(text),
     )
 
 
@@ -147,65 +113,34 @@ _NOT_CONTINUED = bytes(set(range(256)) - set(range(0x80, 0xC0)))
 
 
 def metrics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """doc_id, host and METRICS of every row's whole text; null is the empty text."""
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    schema = T.StructType([*slim.schema.fields[:2], *METRICS.fields])
-    kinds = [pa.int64()] * 6 + [pa.list_(pa.int64())] * 2 + [pa.list_(pa.int32())]
+    """doc_id, host, key0 and key1 (the text's digest), and METRICS of every row's whole text; null is the empty text."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    key = [k.alias(f"key{i}") for i, k in enumerate(digest(text))]
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), *key, text.alias("text"))
+    schema = T.StructType([*slim.schema.fields[:4], *METRICS.fields])
+    kinds = [pa.int64()] * 6 + [pa.list_(pa.int64())] * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [measure(t.as_buffer().to_pybytes()) for t in b.column(2)]
-            columns = list(zip(*rows)) or [[]] * 9
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=schema.names)
+            rows = [measure(t.as_buffer().to_pybytes()) for t in b.column(4)]
+            columns = list(zip(*rows)) or [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], *(pa.array(c, k) for c, k in zip(columns, kinds))], names=schema.names)
 
     return slim.mapInArrow(run, schema)
 
 
-def _copies(sketches: DataFrame) -> DataFrame:
-    """(node, component) of ``sketches`` (text_hash, sketch; each text once) that are copies of others.
+def boilerplate(measured: DataFrame, *, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
+    """(host, line): hashed lines that more distinct documents of their host hold than its limit.
 
-    Each text is compared with the smallest text of each of its bands, so that the pairs grow
-    with the texts; links are then followed.
+    A host and line's documents are counted in two steps, each combined before its shuffle, so
+    that neither a host nor a line of many rows meets in one task.
     """
-    bands = [F.xxhash64(F.lit(i), *[F.get("sketch", F.lit(i + j)) for j in range(BAND)]) for i in range(0, MINIMA - BAND + 1, BAND)]
-    each = sketches.select("text_hash", F.explode(F.array(*bands)).alias("band"))
-    first = each.groupBy("band").agg(F.min("text_hash").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a")
-    pairs = each.join(first, "band").where("a < text_hash").select("a", F.col("text_hash").alias("b")).distinct()
-    one, two = (sketches.select(F.col("text_hash").alias(c), F.col("sketch").alias(f"of_{c}")) for c in "ab")
-    same = F.aggregate(F.zip_with("of_a", "of_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    return connected_components(pairs.join(one, "a").join(two, "b").where(same >= COPY_OVERLAP * MINIMA).select("a", "b"))
-
-
-def boilerplate(measured: DataFrame, *, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, copy_share: float | None = None) -> DataFrame:
-    """(host, line): hashed lines above their host's limit of distinct documents.
-
-    With a ``copy_share``, copies are not told by their overlap: a text with more of its words
-    than this in widely shared lines counts under the smallest of those lines, whatever else it holds.
-    """
-    host = F.col("host")
-    distinct = measured.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("docs"))
-    limits = distinct.select("host", F.greatest(F.lit(float(min_docs)), F.col("docs") * min_share).alias("most"))
-
-    def above(counted: DataFrame) -> DataFrame:
-        """counted: (host, line, key) -> (host, line) with more distinct keys than the limit."""
-        n = counted.distinct().groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > min_docs)
-        at = n.host.eqNullSafe(limits.host) & (n.n > limits.most)
-        return n.join(limits, at, "left_semi").select("host", "line")
-
-    own = measured.select("host", "text_hash", "n_words", F.explode(F.arrays_zip("line_hash", "line_words")).alias("l"))
-    lines = own.select("host", "text_hash", "n_words", F.col("l.line_hash").alias("line"), F.col("l.line_words").alias("words"))
-    # First by texts, then, among lines that pass, with copies of a document under one key.
-    wide = store(above(lines.select("host", "line", F.col("text_hash").alias("key"))), "wide")
-    texts = lines.distinct().alias("t").join(wide.alias("w"), (F.col("t.line") == F.col("w.line")) & F.col("t.host").eqNullSafe(F.col("w.host")), "left_semi")
-    if copy_share is None:
-        held = store(texts.select("host", "text_hash", "line"), "held")
-        sketches = measured.select("text_hash", "sketch").join(held.select("text_hash").distinct(), "text_hash", "left_semi").dropDuplicates(["text_hash"])
-        copies = _copies(store(sketches, "sketches"))
-        keyed = held.join(copies, held.text_hash == copies.node, "left")
-        return above(keyed.select("host", "line", F.coalesce("component", "text_hash").alias("key")))
-    shared = texts.groupBy("host", "text_hash").agg(F.sum("words").alias("shared"), F.min("line").alias("least"), F.max("n_words").alias("n_words"), F.collect_list("line").alias("lines"))
-    key = F.when(F.col("shared") > copy_share * F.col("n_words"), F.struct(F.lit(True), "least")).otherwise(F.struct(F.lit(False), F.col("text_hash").alias("least")))
-    return above(shared.select(host, F.explode("lines").alias("line"), key.alias("key")))
+    docs = measured.select("host", "lines_hash").distinct().groupBy("host").agg(F.count("*").alias("docs"))
+    limits = docs.select("host", F.greatest(F.lit(float(min_docs)), F.col("docs") * F.lit(float(min_share))).alias("most"))
+    lines = measured.select("host", "lines_hash", F.explode("line_hash").alias("line")).distinct()
+    held = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > min_docs)
+    at = held.host.eqNullSafe(limits.host) & (held.n > limits.most)
+    return held.join(limits, at, "left_semi").select("host", "line")
 
 
 def judge(
@@ -216,41 +151,40 @@ def judge(
     host_col: str = "source",
     min_docs: int = MIN_DOCS,
     min_share: float = MIN_SHARE,
-    copy_share: float | None = None,
     left_share: float = LEFT_SHARE,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, the base counts, base_failed, n_removed_words, kept.
 
     base_failed: fewer than 50 words, or over half of them in repeated 3-word windows. kept: not
-    base_failed, and at least ``left_share`` of the words left without lines above the limit.
-    Null and empty texts have no words and fail. A null host is a host of its own; a null id is
-    an id like any other; rows repeated in whole count as one document and are judged alike.
-    Extra columns are ignored; an empty table gives no rows.
+    base_failed, and at least ``left_share`` of the words left without lines above the limit. A
+    line is above it when more than ``min_docs`` distinct documents of the host hold it, and more
+    than ``min_share`` of them; a line with exactly as many stays. Null and empty texts have no
+    words and fail. Very long texts are read whole. A null host is a host of its own; a null or
+    repeated id is an id like any other, as rows are judged by host and text; rows repeated in
+    whole count as one document and are judged alike. Extra columns, whatever their names, are
+    ignored; an empty table gives no rows.
     """
-    return _judged(store(metrics(docs, id_col=id_col, text_col=text_col, host_col=host_col), "metrics"), min_docs, min_share, copy_share, left_share)
+    return _judged(store(metrics(docs, id_col=id_col, text_col=text_col, host_col=host_col), "metrics"), min_docs, min_share, left_share).select(*VERDICT)
+
 
+#: The columns of a verdict.
+VERDICT = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
 
-def _judged(measured: DataFrame, min_docs: int, min_share: float, copy_share: float | None, left_share: float) -> DataFrame:
-    bad = store(boilerplate(measured, min_docs=min_docs, min_share=min_share, copy_share=copy_share), "boilerplate")
-    own = measured.select("host", "text_hash", F.explode(F.arrays_zip("line_hash", "line_words")).alias("l"))
-    lines = own.select("host", "text_hash", F.col("l.line_hash").alias("line"), F.col("l.line_words").alias("words")).distinct().alias("t")
-    hit = lines.join(bad.alias("b"), (F.col("t.line") == F.col("b.line")) & F.col("t.host").eqNullSafe(F.col("b.host")), "left_semi")
-    removed = hit.groupBy("host", "text_hash").agg(F.sum("words").alias("removed")).alias("r")
-    m = measured.drop("line_hash", "line_words", "sketch").alias("m")
-    out = m.join(removed, (F.col("m.text_hash") == F.col("r.text_hash")) & F.col("m.host").eqNullSafe(F.col("r.host")), "left")
+
+def _judged(measured: DataFrame, min_docs: int, min_share: float, left_share: float) -> DataFrame:
+    bad = store(boilerplate(measured, min_docs=min_docs, min_share=min_share), "boilerplate")
+    named = bad.select(F.col("host").alias("bad_host"), F.col("line").alias("bad_line"))
+    named = F.broadcast(named) if bad.count() <= BROADCAST_KEYS else named
+    own = measured.select("host", "key0", "key1", F.explode(F.arrays_zip("line_hash", "line_words")).alias("l"))
+    lines = own.select("host", "key0", "key1", F.col("l.line_hash").alias("line"), F.col("l.line_words").alias("words"))
+    hit = lines.join(named, (F.col("line") == F.col("bad_line")) & F.col("host").eqNullSafe(F.col("bad_host")), "left_semi")
+    removed = hit.distinct().groupBy("host", "key0", "key1").agg(F.sum("words").alias("removed")).toDF("r_host", "r_key0", "r_key1", "removed")
+    m = measured.drop("line_hash", "line_words", "lines_hash")
+    out = m.join(removed, (F.col("key0") == F.col("r_key0")) & (F.col("key1") == F.col("r_key1")) & F.col("host").eqNullSafe(F.col("r_host")), "left")
     gone = F.coalesce("removed", F.lit(0))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return out.select(
-        "doc_id",
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        "n_dup_lines",
-        "n_repeat_words",
-        failed.alias("base_failed"),
-        (~failed & (F.col("n_words") - gone >= left_share * F.col("n_words"))).alias("kept"),
-        gone.alias("n_removed_words"),
-    )
+    kept = ~failed & (F.col("n_words") - gone >= left_share * F.col("n_words"))
+    return out.select(*m.columns, failed.alias("base_failed"), kept.alias("kept"), gone.alias("n_removed_words"))
 
 
 def keep_good(
@@ -261,16 +195,16 @@ def keep_good(
     host_col: str = "source",
     min_docs: int = MIN_DOCS,
     min_share: float = MIN_SHARE,
-    copy_share: float | None = None,
     left_share: float = LEFT_SHARE,
 ) -> DataFrame:
     """``docs`` without the rows that ``judge`` rejects, same columns.
 
-    Where rows of one id are judged apart, they stay if any of them is kept. Rows without an id
-    are judged as one such group. The texts' counts are removed once the ids to drop are known.
+    Rows go by host and text, on which their verdicts depend, whatever their ids. The texts'
+    counts are removed once the keys to drop are known.
     """
     measured = store(metrics(docs, id_col=id_col, text_col=text_col, host_col=host_col), "metrics")
-    verdicts = _judged(measured, min_docs, min_share, copy_share, left_share)
-    bad = store(verdicts.groupBy(F.col("doc_id").alias("__id")).agg(F.bool_or("kept").alias("any")).where("not any").select("__id"), "rejected")
+    verdicts = _judged(measured, min_docs, min_share, left_share)
+    bad = store(verdicts.where(~F.col("kept")).select("host", "key0", "key1").distinct(), "rejected")
     drop(measured)
-    return without(docs, id_col, bad)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return without(docs, [F.col(host_col).cast("string"), *digest(text)], bad)
