@@ -50,7 +50,7 @@ def test_matches_brute_force(spark):
 
 
 def test_large_classes_are_told_alike(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "LARGE_CLASS", 1)
+    monkeypatch.setattr(simhash, "HOT_CLASSES", 1)
     df = spark.createDataFrame(ROWS, "doc_id long, text string")
     assert sorted(map(tuple, simhash.near_duplicates(df).collect()), key=str) == brute(ROWS)
 
@@ -76,14 +76,14 @@ def test_drop_keeps_one_of_each_group(spark):
     df = spark.createDataFrame([(*r, "s") for r in ROWS], "doc_id long, text string, source string")
     out = simhash.drop_near_duplicates(df)
     assert out.columns == df.columns
-    named = {(d, c) for d, _, c in brute(ROWS) if d is not None}
+    found = brute(ROWS)
     ids = [r.doc_id for r in out.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted({c for _, c in named})
-    assert ids.count(None) == 2
+    assert sorted(i for i in ids if i is not None) == sorted({c for _, _, c in found if c is not None})
+    assert ids.count(None) == len({fp for _, fp, c in found if c is None})
 
 
 def test_ids_are_dropped_alike_by_both_joins(spark, monkeypatch):
     df = spark.createDataFrame(ROWS, "doc_id long, text string")
     few = sorted(map(str, simhash.drop_near_duplicates(df).collect()))
-    monkeypatch.setattr(common, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(common, "BROADCAST_KEYS", 0)
     assert sorted(map(str, simhash.drop_near_duplicates(df).collect())) == few

@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, store, without
+from .common import connected_components, drop, quoted, row_digest, store, within, without
 
 _SHIFTS = np.arange(64, dtype=np.uint64)
-#: Rows of equal fingerprint that may be joined in one task, whatever the table's size.
-LARGE_CLASS = 1_000
+#: Bound on the classes of equal fingerprints that are told by broadcast: those of more than this part of all rows.
+HOT_CLASSES = 10_000
 
 
 def _fingerprint(text: bytes, words: int, seed: int) -> int:
@@ -52,19 +52,20 @@ def _column_sums(bits: np.ndarray) -> np.ndarray:
     return np.add.reduceat(lanes, cuts, axis=0).view(np.uint8).reshape(len(cuts), 64).sum(0, dtype=np.int64)
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): 64-bit SimHash of each whole text's word shingles, repeats included.
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, carry: dict[str, Column] | None = None) -> DataFrame:
+    """(doc_id, ``carry``, fp): 64-bit SimHash of each whole text's word shingles, repeats included.
 
     A text of fewer words is one shingle; null and wordless texts have fingerprint zero.
     """
-    schema = docs.select(F.col(id_col).alias("doc_id")).schema.add("fp", "long", False)
+    own = docs.select(F.col(id_col).alias("doc_id"), *[c.alias(n) for n, c in (carry or {}).items()], F.col(text_col).cast("string").alias("text"))
+    schema = own.drop("text").schema.add("fp", "long", False)
 
     def run(batches):
         for b in batches:
-            fps = [0 if not t.is_valid else _fingerprint(t.as_buffer().to_pybytes(), words, seed) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            fps = [0 if not t.is_valid else _fingerprint(t.as_buffer().to_pybytes(), words, seed) for t in b.columns[-1]]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.array(fps, np.uint64).view(np.int64))], names=schema.names)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return own.mapInArrow(run, schema)
 
 
 def ball_masks(radius: int) -> list[int]:
@@ -102,46 +103,59 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     component_id is the smallest doc_id reachable over links of at most ``radius`` bits. Rows of
     equal fingerprint are collapsed to their smallest id first; only distinct fingerprints make
-    variants. Null and empty texts share fingerprint zero and are linked like any other. Rows
-    with a null id get the component of the other rows that they reach, null if there is none;
-    repeated rows are kept. Extra columns are ignored; an empty table gives no rows.
+    variants. Very long texts are read whole. Null and empty texts share fingerprint zero and are
+    linked like any other. Rows with a null id get the component of the other rows that they
+    reach, null if there is none; repeated rows are kept. Extra columns, whatever their names, are
+    ignored; an empty table gives no rows.
     """
-    return _components(store(fingerprints(docs, id_col=id_col, text_col=text_col, words=words, seed=seed), "fingerprints"), radius)
-
-
-def _components(fps: DataFrame, radius: int) -> DataFrame:
+    fps = store(fingerprints(docs, id_col=id_col, text_col=text_col, words=words, seed=seed), "fingerprints")
     classes = store(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "classes")
-    found = connected_components(ball_links(classes, radius=radius))
+    linked = store(_linked(classes, radius), "linked")
     # Only linked fingerprints take part in the joins; the smallest id of a component is an aggregate.
-    linked = classes.join(found, classes.fp == found.node).select("fp", "component", "first_id")
-    least = linked.groupBy("component").agg(F.min("first_id").alias("least_id"))
-    named = linked.join(least, "component").select("fp", "least_id")
+    named = classes.join(linked, "fp")
+    least = named.groupBy("component").agg(F.min("first_id").alias("least_id"))
+    named = named.join(least, "component").select("fp", "least_id")
     table = classes.join(named, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"), "n")
-    # A class of over a ten-thousandth of all rows is told by broadcast, so that its rows never meet
-    # in one task; there are fewer than ten thousand such classes. The others are joined.
+    # The largest classes are told by broadcast, so that their rows never meet in one task; the others are joined.
     rows = classes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    large = F.col("n") > max(LARGE_CLASS, rows // 10_000)
+    large = F.col("n") > rows // HOT_CLASSES
     hot = store(table.where(large).select("fp", "component_id"), "hot")
     told = fps.join(F.broadcast(hot), "fp")
     rest = fps.join(F.broadcast(hot), "fp", "left_anti").join(table.where(~large).select("fp", "component_id"), "fp")
     return told.unionByName(rest).select("doc_id", fp_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row for each group of near-duplicates: the one of the smallest id.
+def _linked(classes: DataFrame, radius: int) -> DataFrame:
+    """(fp, component) of the fingerprints that have a link."""
+    return connected_components(ball_links(classes.select("fp"), radius=radius)).select(F.col("node").alias("fp"), "component")
+
+
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
+    """``docs`` with one row for each group of near-duplicates, same columns: the one of the smallest id.
 
-    Where several rows have that id, the first by text and then by all columns stays. Rows
-    without an id can't be told apart and all stay.
+    Rows without an id come after those with one. Where several rows of a group have the smallest
+    id, that of the smallest digest of all its columns stays; of rows equal in all columns, one.
+    Rows are told apart by that digest, not by their ids.
     """
-    id_col = options.get("id_col", "doc_id")
-    text_col = options.get("text_col", "text")
-    found = near_duplicates(docs, **options).where("doc_id is not null")
-    ids = store(found.groupBy(F.col("doc_id").alias("__id")).agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("n")), "verdicts")
-    out = without(docs, id_col, store(ids.where("not stays").select("__id"), "dropped"))
-    twice = ids.where("stays and n > 1").select("__id")
+    key = dict(zip(("key0", "key1"), row_digest(docs), strict=True))
+    made = fingerprints(docs, id_col=id_col, text_col=text_col, words=words, seed=seed, carry=key)
+    rows = store(made.groupBy("fp", "doc_id", "key0", "key1").agg(F.count("*").alias("n")), "fingerprints")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key0", "key1")
+    first = store(rows.groupBy("fp").agg(F.min(place).alias("place")), "classes")
+    linked = store(_linked(first, radius), "linked")
+    # One row a fingerprint; of linked ones, only that of the smallest place in the component.
+    chained = first.join(linked, "fp").groupBy("component").agg(F.min(F.struct("place", "fp")).alias("best")).select("best.fp")
+    losers = linked.join(chained, "fp", "left_anti").select("fp", F.lit(True).alias("loses"))
+    stays = first.join(losers, "fp", "left").where("loses is null").select("place.key0", "place.key1")
+    gone = store(rows.select("key0", "key1").join(stays, ["key0", "key1"], "left_anti"), "dropped")
+    out = without(docs, row_digest(docs), gone)
+    twice = rows.where("n > 1").join(stays, ["key0", "key1"], "left_semi").select("key0", "key1")
+    twice = store(twice, "twice")
     if not twice.isEmpty():
-        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-        again = docs.join(twice, docs[id_col] == F.col("__id"), "left_semi")
-        first = again.groupBy(id_col).agg(F.min_by(row, F.struct(F.col(text_col), F.to_json(row))).alias("__row"))
-        out = without(out, id_col, store(twice, "twice")).unionByName(first.select("__row.*"))
+        row = F.struct(*[F.col(quoted(c)) for c in docs.columns])
+        again = within(docs, row_digest(docs), twice).select(*[k.alias(f"key{i}") for i, k in enumerate(row_digest(docs))], row.alias("row"))
+        one = again.groupBy("key0", "key1").agg(F.first("row").alias("row")).select("row.*")
+        out = without(out, row_digest(docs), twice).unionByName(one)
+    for table in (rows, first, linked):
+        drop(table)
     return out
