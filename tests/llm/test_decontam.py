@@ -63,10 +63,10 @@ def test_matches_brute_force(spark):
 
 def test_segments_change_nothing(spark):
     docs, _ = frames(spark)
-    windows = decontam.Windows(ITEMS, 10)
+    windows = decontam.Windows([(None if i is None else str(i), t) for i, t in ITEMS], 10)
     want = None
     for size in (1, 300, 1 << 30):
-        got = sorted(map(str, decontam.overlaps(decontam.build_index(docs, segment_bytes=size), windows).collect()))
+        got = sorted(map(str, decontam.overlaps(decontam.build_index(docs, segment_bytes=size), iter([windows])).collect()))
         want = want or got
         assert got == want
 

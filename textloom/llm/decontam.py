@@ -5,122 +5,130 @@ postings (term, positions) of a bounded run of documents, so that no term's list
 common, meets in one place, and a query runs on every segment by itself. A window of test words
 is looked up from its rarest term in the segment: the lists of the other terms, each shifted by
 the term's offset in the window, are intersected one after another, shortest first.
+
+Test items of any size are asked for in parts that fit into a task; what the parts find in a
+document is put together.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop, store, without
+from .common import digest, drop, store, without
 
 #: Bytes of text that a segment gathers before it is closed; a longer document is a segment of its own.
 SEGMENT_BYTES = 2 << 20
-#: Words of test items that are sent to every task; more than this is an error.
-MAX_TEST_WORDS = 20_000_000
+#: Bytes of test items that are sent to every task at a time, in expectation; a longer item goes alone with others.
+PART_BYTES = 8 << 20
 #: Maps A-Z to lower case and all ASCII but letters and digits to a space.
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
-INDEX_SCHEMA = T.StructType(
-    [
-        T.StructField("doc_id", T.ArrayType(T.LongType())),
-        T.StructField("n_words", T.ArrayType(T.LongType())),
-        T.StructField("term", T.ArrayType(T.BinaryType())),
-        T.StructField("n_postings", T.ArrayType(T.IntegerType())),
-        T.StructField("postings", T.BinaryType()),
-    ]
-)
-
 
 def words_of(text: bytes) -> list[bytes]:
     """Lower-cased ASCII letters and digits and all other characters beyond ASCII, in runs."""
     return text.translate(_KEEP).split()
 
 
-def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", terms: DataFrame | None = None, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
-    """Positional postings of whole texts, one row per segment.
+def _index_schema(id_type: T.DataType) -> T.StructType:
+    return T.StructType(
+        [
+            T.StructField("segment", T.StringType()),
+            T.StructField("doc_id", T.ArrayType(id_type)),
+            T.StructField("n_words", T.ArrayType(T.LongType())),
+            T.StructField("term", T.ArrayType(T.BinaryType())),
+            T.StructField("n_postings", T.ArrayType(T.IntegerType())),
+            T.StructField("postings", T.BinaryType()),
+        ]
+    )
+
+
+def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
+    """Positional postings of all words of whole texts, one row per segment; it answers any later query.
 
     A segment's documents follow one another on one axis of positions, with a gap of one between
     two; ``postings`` holds each term's ascending positions on it as 32-bit integers, ``n_postings``
-    how many belong to each term. ``terms`` (column ``word``) restricts the index to the words
-    that queries can ask for. Null and empty texts have no postings but keep their place.
+    how many belong to each term. Null and empty texts have no postings but keep their place. Ids
+    may be of any type.
     """
-    wanted = None if terms is None else {bytes(r.word): i for i, r in enumerate(terms.select(F.col("word").cast("binary").alias("word")).distinct().limit(MAX_TEST_WORDS + 1).collect())}
-    if wanted is not None and len(wanted) > MAX_TEST_WORDS:
-        raise ValueError(f"more than {MAX_TEST_WORDS} terms")
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    schema = _index_schema(slim.schema[0].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        ids, counts, at, gathered, base, size = [], [], [], [], 0, 0
-
-        def close():
-            own = known if known is not None else {w: i for i, w in enumerate(dict.fromkeys(w for x in gathered for w in x))}
-            position, term = [], []
-            for start, tokens in zip(at, gathered):
-                found = np.fromiter((own.get(w, -1) for w in tokens), np.int32, len(tokens))
-                here = np.flatnonzero(found >= 0).astype(np.int32)
-                position.append(here + np.int32(start))
-                term.append(found[here])
-            position = np.concatenate(position) if position else np.zeros(0, np.int32)
-            term = np.concatenate(term) if term else np.zeros(0, np.int32)
+        ids, counts, base, made = [], [], 0, 0
+        number: dict[bytes, int] = {}
+        parts: list[np.ndarray] = []
+        kind = None
+
+        def close() -> pa.RecordBatch:
+            nonlocal ids, counts, base, made, number, parts
+            term = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+            position = np.flatnonzero(term >= 0).astype("<i4")
+            term = term[position]
             order = np.argsort(term, kind="stable")
-            present, n = np.unique(term, return_counts=True)
-            spelled = list(own)
-            return pa.RecordBatch.from_pylist(
-                [{"doc_id": ids, "n_words": counts, "term": [spelled[i] for i in present.tolist()], "n_postings": n.tolist(), "postings": position[order].astype("<i4").tobytes()}],
-                schema=_INDEX_ARROW,
-            )
+            row = [
+                pa.array([f"{TaskContext.get().partitionId()}-{made}"]),
+                pa.array([ids], pa.list_(kind)),
+                pa.array([counts], pa.list_(pa.int64())),
+                pa.array([list(number)], pa.list_(pa.binary())),
+                pa.array([np.bincount(term, minlength=len(number)).astype(np.int32)], pa.list_(pa.int32())),
+                pa.array([position[order].tobytes()], pa.binary()),
+            ]
+            ids, counts, base, made, number, parts = [], [], 0, made + 1, {}, []
+            return pa.RecordBatch.from_arrays(row, names=schema.names)
 
         for b in batches:
+            kind = b.column(0).type
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
                 tokens = words_of(text.as_buffer().to_pybytes()) if text.is_valid else []
-                if ids and size + len(tokens) * 8 > segment_bytes:
+                if ids and (base + len(tokens)) * 8 + len(ids) * 64 > segment_bytes:
                     yield close()
-                    ids, counts, at, gathered, base, size = [], [], [], [], 0, 0
+                found = np.fromiter((number.setdefault(w, len(number)) for w in tokens), np.int32, len(tokens))
+                parts += [found, _GAP]
                 ids.append(doc)
                 counts.append(len(tokens))
-                at.append(base)
-                gathered.append(tokens)
                 base += len(tokens) + 1
-                size += len(tokens) * 8 + 64
         if ids:
             yield close()
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, INDEX_SCHEMA)
+    return slim.mapInArrow(run, schema)
 
 
-_INDEX_ARROW = pa.schema(
-    [
-        ("doc_id", pa.list_(pa.int64())),
-        ("n_words", pa.list_(pa.int64())),
-        ("term", pa.list_(pa.binary())),
-        ("n_postings", pa.list_(pa.int32())),
-        ("postings", pa.binary()),
-    ]
-)
+_GAP = np.array([-1], np.int32)
 
 
 class Windows:
-    """The test items' windows as a matrix of term numbers, -1 beyond a short window's end."""
+    """Test items' windows as a matrix of term numbers, -1 beyond a short window's end.
+
+    ``items`` are (id as a string or None, text). Windows lie in the order of their key, the term
+    that is rarest among the items, so that a segment looks only at those whose key it holds.
+    """
 
-    def __init__(self, items: list[tuple[int | None, str | None]], width: int):
+    def __init__(self, items: list[tuple[str | None, str | None]], width: int):
         self.term: dict[bytes, int] = {}
         rows: dict[tuple[int, ...], set] = {}
         for item, text in items:
             numbers = [self.term.setdefault(w, len(self.term)) for w in words_of((text or "").encode())]
             for i in range(max(1, len(numbers) - width + 1) if numbers else 0):
                 rows.setdefault(tuple(numbers[i : i + width]), set()).add(item)
-        self.items = [sorted(x, key=lambda i: (i is None, i)) for x in rows.values()]
-        self.matrix = np.full((len(rows), width), -1, np.int32)
+        matrix = np.full((len(rows), width), -1, np.int32)
         for i, row in enumerate(rows):
-            self.matrix[i, : len(row)] = row
+            matrix[i, : len(row)] = row
+        often = np.append(np.bincount(matrix[matrix >= 0], minlength=len(self.term)), 1 << 60)
+        key = matrix[np.arange(len(rows)), often[matrix].argmin(1)] if len(rows) else np.zeros(0, np.int32)
+        order = np.argsort(key, kind="stable")
+        listed = [sorted(x, key=lambda i: (i is None, i)) for x in rows.values()]
+        self.items = [listed[i] for i in order.tolist()]
+        self.matrix = matrix[order]
         self.length = (self.matrix >= 0).sum(1)
+        self.first = np.searchsorted(key[order], np.arange(len(self.term) + 1))  # a key's windows
 
 
 class Segment:
@@ -141,7 +149,13 @@ class Segment:
 
     def _candidates(self) -> np.ndarray:
         """Windows all of whose terms occur in the segment."""
-        return np.flatnonzero((self.df[self.windows.matrix] > 0).all(1)) if self.at else np.zeros(0, np.int64)
+        keys = np.fromiter(self.at, np.int64, len(self.at))
+        first, end = self.windows.first[keys], self.windows.first[keys + 1]
+        keys, first, end = keys[end > first], first[end > first], end[end > first]
+        if not len(keys):
+            return np.zeros(0, np.int64)
+        some = np.concatenate([np.arange(a, e) for a, e in zip(first.tolist(), end.tolist())])
+        return np.sort(some[(self.df[self.windows.matrix[some]] > 0).all(1)])
 
     def phrases(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(window, starts on the segment's axis, documents' numbers) of exact occurrences."""
@@ -188,75 +202,149 @@ def _query(index: DataFrame, windows: Windows, answer, schema: T.StructType) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            kind = b.schema.field("doc_id").type.value_type
             for i in range(b.num_rows):
-                row = [b.column(n)[i].as_py() for n in ("doc_id", "n_words", "term", "n_postings", "postings")]
-                columns = answer(Segment(*row, shared.value))
+                name, *row = [b.column(n)[i].as_py() for n in ("segment", "doc_id", "n_words", "term", "n_postings", "postings")]
+                columns = answer(Segment(*row, shared.value), name, kind)
                 yield pa.RecordBatch.from_pydict(columns)
 
     return index.mapInArrow(run, schema)
 
 
-def load_windows(items: DataFrame, *, item_col: str = "item_id", text_col: str = "text", width: int = 10) -> Windows:
-    """The windows of all test items, held by the driver; their size is checked first."""
-    size = items.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("n")).first().n
-    if size > 8 * MAX_TEST_WORDS:
-        raise ValueError(f"{size} bytes of test items are too many to send to every task")
-    return Windows([(r[0], r[1]) for r in items.select(F.col(item_col).cast("long"), F.col(text_col).cast("string")).collect()], width)
+def load_windows(items: DataFrame, *, item_col: str = "item_id", text_col: str = "text", width: int = 10, part_bytes: int = PART_BYTES) -> Iterator[Windows]:
+    """The windows of all test items, in parts of about ``part_bytes`` of text that the driver holds one at a time."""
+    own = items.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
+    size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+    parts = max(1, math.ceil(size / part_bytes))
+    for i in range(parts):
+        some = own.where(F.pmod(F.xxhash64("text", "item"), F.lit(parts)) == i) if parts > 1 else own
+        yield Windows([(r.item, r.text) for r in some.collect()], width)
+
+
+def _id_type(index: DataFrame) -> T.DataType:
+    return index.schema["doc_id"].dataType.elementType
 
 
 def matches(index: DataFrame, windows: Windows, *, slop: int | None = None) -> DataFrame:
     """(doc_id, item_id, start, kind): where items' windows occur, as ``phrase`` or, with ``slop``, also ``near``.
 
-    start counts words from 0; a near match's start is where its rarest term puts it.
+    start counts words from 0; a near match's start is where its rarest term puts it. item_id is a string.
     """
 
-    def answer(s: Segment) -> dict:
+    def answer(s: Segment, name: str, kind: pa.DataType) -> dict:
         out: dict = {"doc_id": [], "item_id": [], "start": [], "kind": []}
         exact = set()
-        for kind, found in (("phrase", s.phrases()), *((("near", s.near(slop)),) if slop is not None else ())):
+        for how, found in (("phrase", s.phrases()), *((("near", s.near(slop)),) if slop is not None else ())):
             for w, places, docs in found:
                 for d, p in zip(docs.tolist(), places.tolist()):
-                    if kind == "phrase":
+                    if how == "phrase":
                         exact.add((w, p))
                     elif (w, p) in exact:
                         continue
                     for item in s.windows.items[w]:
-                        for k, v in zip(out, (s.ids[d], item, p - int(s.start[d]), kind)):
+                        for k, v in zip(out, (s.ids[d], item, p - int(s.start[d]), how)):
                             out[k].append(v)
-        return {"doc_id": pa.array(out["doc_id"], pa.int64()), "item_id": pa.array(out["item_id"], pa.int64()), "start": pa.array(out["start"], pa.int64()), "kind": pa.array(out["kind"], pa.string())}
+        return {"doc_id": pa.array(out["doc_id"], kind), "item_id": pa.array(out["item_id"], pa.string()), "start": pa.array(out["start"], pa.int64()), "kind": pa.array(out["kind"], pa.string())}
 
-    return _query(index, windows, answer, T.StructType().add("doc_id", "long").add("item_id", "long").add("start", "long").add("kind", "string"))
+    return _query(index, windows, answer, T.StructType().add("doc_id", _id_type(index)).add("item_id", "string").add("start", "long").add("kind", "string"))
 
 
-def overlaps(index: DataFrame, windows: Windows) -> DataFrame:
+def overlaps(index: DataFrame, parts: Iterator[Windows]) -> DataFrame:
     """Per document: doc_id, n_words, n_hit (words inside any occurrence of a window), item_ids (sorted as strings)."""
-
-    def answer(s: Segment) -> dict:
-        cover = np.zeros(int(s.start[-1]) + 1, np.int32)
-        items: dict[int, set] = {}
-        for w, starts, docs in s.phrases():
-            np.add.at(cover, starts, 1)
-            np.add.at(cover, starts + int(s.windows.length[w]), -1)
-            for d in np.unique(docs).tolist():
-                items.setdefault(d, set()).update(s.windows.items[w])
-        hit = np.concatenate(([0], np.cumsum(np.cumsum(cover)[:-1] > 0)))
+    head = next(parts)
+    second = next(parts, None)
+    if second is None:
+        return _whole_overlaps(index, head)
+    found = store(_part_overlaps(index, head), "hits")
+    hits = [found]
+    while second is not None:
+        hits.append(store(_part_overlaps(index, second), "hits"))
+        second = next(parts, None)
+    every = hits[0]
+    for more in hits[1:]:
+        every = every.unionByName(more)
+    # A document's ranges are its own words at most; they are merged in order of their starts.
+    joined = every.groupBy("segment", "doc").agg(F.array_sort(F.flatten(F.collect_list("ranges"))).alias("ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
+    start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+    n = F.aggregate("ranges", start, lambda x, r: F.struct(F.greatest(x["end"], r["b"]).alias("end"), (x["n"] + F.greatest(r["b"] - F.greatest(x["end"], r["a"]), F.lit(0))).alias("n")), lambda x: x["n"])
+    rows = index.select("segment", F.posexplode(F.arrays_zip("doc_id", "n_words")).alias("doc", "row")).select("segment", "doc", "row.doc_id", "row.n_words")
+    counted = joined.select("segment", "doc", n.alias("n_hit"), "item_ids")
+    none = F.array().cast("array<string>")
+    return rows.join(counted, ["segment", "doc"], "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"))
+
+
+def _covered(s: Segment) -> tuple[np.ndarray, dict[int, set]]:
+    """Which places of the segment's axis lie inside an occurrence, and the items found in each document."""
+    cover = np.zeros(int(s.start[-1]) + 1, np.int32)
+    items: dict[int, set] = {}
+    for w, starts, docs in s.phrases():
+        np.add.at(cover, starts, 1)
+        np.add.at(cover, starts + int(s.windows.length[w]), -1)
+        for d in np.unique(docs).tolist():
+            items.setdefault(d, set()).update(s.windows.items[w])
+    return np.cumsum(cover)[:-1] > 0, items
+
+
+def _named(items: set) -> list[str]:
+    return sorted(i for i in items if i is not None)
+
+
+def _whole_overlaps(index: DataFrame, windows: Windows) -> DataFrame:
+    def answer(s: Segment, name: str, kind: pa.DataType) -> dict:
+        inside, items = _covered(s)
+        hit = np.concatenate(([0], np.cumsum(inside)))
         n_hit = hit[s.start[1:] - 1] - hit[s.start[:-1]]
-        named = [sorted(str(i) for i in items.get(d, ()) if i is not None) for d in range(len(s.ids))]
-        return {"doc_id": pa.array(s.ids, pa.int64()), "n_words": pa.array(s.n_words), "n_hit": pa.array(n_hit.astype(np.int64)), "item_ids": pa.array(named, pa.list_(pa.string()))}
-
-    return _query(index, windows, answer, T.StructType().add("doc_id", "long").add("n_words", "long").add("n_hit", "long").add("item_ids", T.ArrayType(T.StringType())))
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10) -> DataFrame:
+        named = [_named(items.get(d, set())) for d in range(len(s.ids))]
+        return {"doc_id": pa.array(s.ids, kind), "n_words": pa.array(s.n_words), "n_hit": pa.array(n_hit.astype(np.int64)), "item_ids": pa.array(named, pa.list_(pa.string()))}
+
+    return _query(index, windows, answer, T.StructType().add("doc_id", _id_type(index)).add("n_words", "long").add("n_hit", "long").add("item_ids", T.ArrayType(T.StringType())))
+
+
+def _part_overlaps(index: DataFrame, windows: Windows) -> DataFrame:
+    """(segment, doc, ranges of words, item_ids) of documents with an occurrence."""
+    pair = pa.struct([("a", pa.int64()), ("b", pa.int64())])
+
+    def answer(s: Segment, name: str, kind: pa.DataType) -> dict:
+        inside, items = _covered(s)
+        edge = np.diff(np.concatenate(([0], inside.astype(np.int8), [0])))
+        a, b = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
+        doc = np.searchsorted(s.start, a, side="right") - 1
+        ranges: dict[int, list] = {}
+        for d, x, y in zip(doc.tolist(), (a - s.start[doc]).tolist(), (b - s.start[doc]).tolist()):
+            ranges.setdefault(d, []).append({"a": x, "b": y})
+        return {
+            "segment": pa.array([name] * len(ranges), pa.string()),
+            "doc": pa.array(list(ranges), pa.int32()),
+            "ranges": pa.array(list(ranges.values()), pa.list_(pair)),
+            "item_ids": pa.array([_named(items[d]) for d in ranges], pa.list_(pa.string())),
+        }
+
+    return _query(index, windows, answer, T._parse_datatype_string("segment string, doc int, ranges array<struct<a:bigint,b:bigint>>, item_ids array<string>"))
+
+
+def contamination(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    width: int = 10,
+    part_bytes: int = PART_BYTES,
+) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     A window is ``width`` consecutive words of an item; an item of fewer, but not none, is one
     window. Null and wordless texts have no words and no hits; null and wordless items no
-    windows. Items without an id mark words but are not listed. Repeated rows of either table,
-    ties and extra columns change nothing; an empty table of documents gives no rows.
+    windows. Ids of either table may be of any type, null or repeated. Items without an id mark
+    words but are not listed. Very long texts are a segment of their own, read whole; test items
+    of any size are looked up in parts. Repeated rows of either table, ties and extra columns,
+    whatever their names, change nothing; an empty table of documents gives no rows.
     """
-    found, _ = _found(docs, benchmark, id_col, text_col, item_col, item_text_col, width)
-    return found.select(
+    index = store(build_index(docs, id_col=id_col, text_col=text_col), "index")
+    parts = load_windows(benchmark, item_col=item_col, text_col=item_text_col, width=width, part_bytes=part_bytes)
+    return overlaps(index, parts).select(
         "doc_id",
         "n_words",
         "n_hit",
@@ -266,22 +354,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     )
 
 
-def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, width: int) -> tuple[DataFrame, DataFrame]:
-    """(overlaps, the stored index that they are read from)"""
-    windows = load_windows(benchmark, item_col=item_col, text_col=item_text_col, width=width)
-    terms = docs.sparkSession.createDataFrame([(w,) for w in windows.term] or [(b"",)], "word binary")
-    index = store(build_index(docs, id_col=id_col, text_col=text_col, terms=terms), "index")
-    return overlaps(index, windows), index
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, max_share: float = 0.0) -> DataFrame:
     """``docs`` without the rows whose share of hit words is above ``max_share``, same columns.
 
-    Rows without an id stay, as they can't be told apart; rows of one id go together. The index
-    is removed once the ids to drop are known.
+    Rows go by their text, on which alone their verdict depends, whatever their ids.
     """
-    found, index = _found(docs, benchmark, id_col, text_col, item_col, item_text_col, width)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    slim = docs.select(F.struct(*[k.alias(f"key{i}") for i, k in enumerate(digest(text))]).alias("doc"), text.alias("text"))
+    index = store(build_index(slim, id_col="doc"), "index")
+    found = overlaps(index, load_windows(benchmark, item_col=item_col, text_col=item_text_col, width=width))
     hit = (F.col("n_hit") > 0) & (F.col("n_hit") > max_share * F.col("n_words"))
-    bad = store(found.where(hit & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id")).distinct(), "contaminated")
+    bad = store(found.where(hit).select("doc_id.key0", "doc_id.key1").distinct(), "contaminated")
     drop(index)
-    return without(docs, id_col, bad)
+    return without(docs, digest(text), bad)
