@@ -22,12 +22,12 @@ from pyspark.sql import types as T
 
 from textloom.sources.text import dense_seq
 
-from .common import digest, n_words, quoted, row_digest, shuffle_partitions, store, unused, within
+from .common import n_words, quoted, row_digest, shuffle_partitions, store, unused, within
 
 #: Documents of a leaf, and residuals of an inner node of the tree, in expectation.
 LEAF = 512
-#: Sources whose table goes to every task; a table of more is joined.
-BROADCAST_SOURCES = 100_000
+#: Sources whose table the driver makes and sends to every task; a table of more is made and joined by the tasks.
+DRIVER_SOURCES = 100_000
 #: Rows that one row is repeated to in one task; more are dealt out first.
 REPEATS = 1_000
 
@@ -59,27 +59,37 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (1, 2, 3)
 
 
 def _shares(per_source: DataFrame, weights: tuple[float, ...], epochs: int, budget: int | None) -> DataFrame:
-    """``per_source`` (source, source_size, rows) with rank, leaves, target and rate, by ``targets``' rule.
-
-    The level up to which sources are filled is raised until no more of them stop there: each
-    step is one aggregate over the sources, however many there are.
+    """``per_source`` (source, source_size, rows; stored) with rank, leaves, target and rate."""
+    if per_source.count() > DRIVER_SOURCES:
+        given = _filled(per_source, weights, epochs, budget)
+    else:
+        found = per_source.collect()
+        goal = targets({r.source: r.source_size for r in found}, weights, epochs=epochs, budget=budget)
+        rows = [(r.source, i, r.source_size, goal[r.source], r.rows) for i, r in enumerate(sorted(found, key=lambda r: (r.source is None, r.source or "")))]
+        given = per_source.sparkSession.createDataFrame(rows, "source string, rank long, source_size long, target double, rows long")
+    rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(epochs)), F.col("target") / F.col("source_size"))).otherwise(0.0)
+    return given.select("source", "rank", "source_size", "target", F.ceil(F.col("rows") / LEAF).alias("leaves"), rate.alias("rate"))
+
+
+def _filled(per_source: DataFrame, weights: tuple[float, ...], epochs: int, budget: int | None) -> DataFrame:
+    """``targets`` for any number of sources: the level up to which they are filled is raised until no more of them stop there.
+
+    Each step is one aggregate over the sources.
     """
-    order = [F.col("source").isNull().cast("int").alias("no_source"), "*"]
-    ranked = dense_seq(per_source.select(*order), "no_source", "source", name="rank").drop("no_source")
+    ranked = dense_seq(per_source.select(F.col("source").isNull().cast("int").alias("no_source"), "*"), "no_source", "source", name="rank").drop("no_source")
     weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights)).cast("int"))
     ranked = store(ranked.withColumn("weight", weight).withColumn("most", F.lit(epochs) * F.col("source_size")), "sources")
     whole = F.col("most").cast("decimal(38,0)")
     level, before = -1.0, None
     while True:
         full = F.col("most") <= F.col("weight") * F.lit(level)
-        r = ranked.agg(F.count_if(full).alias("n"), F.sum(F.when(full, whole)).alias("stopped"), F.sum(F.when(~full, F.col("weight"))).alias("free"), F.sum(F.col("source_size").cast("decimal(38,0)")).alias("all")).first()
+        r = ranked.agg(F.count_if(full).alias("n"), F.sum(F.when(full, whole)).alias("stopped"), F.sum(F.when(~full, F.col("weight"))).alias("free"), F.sum(F.col("source_size").cast("decimal(38,0)")).alias("words")).first()
         if r.n == before or not r.free:
             break
-        left = Fraction(int(r["all"] or 0) if budget is None else budget) - int(r.stopped or 0)
+        left = Fraction(int(r.words or 0) if budget is None else budget) - int(r.stopped or 0)
         level, before = float(left / Fraction(r.free)), r.n
     target = F.least(F.col("most").cast("double"), F.col("weight") * F.lit(max(level, 0.0)))
-    rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(epochs)), target / F.col("source_size"))).otherwise(0.0)
-    return ranked.select("source", "rank", "source_size", target.alias("target"), F.ceil(F.col("rows") / LEAF).alias("leaves"), rate.alias("rate"))
+    return ranked.select("source", "rank", "source_size", target.alias("target"), "rows")
 
 
 def _uniform(key: np.ndarray, step: int) -> np.ndarray:
@@ -163,12 +173,11 @@ def _rounded(sizes: DataFrame, weights: tuple[float, ...], epochs: int, budget:
     Each of a unit's n rows is taken ``copies`` times, and ``extra`` of them once more. A unit's
     own rows pair first: of n equal fractions all but the rest of their sum is whole.
     """
-    spark = sizes.sparkSession
-    per_source = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.count("*").alias("rows"))
+    per_source = store(sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.count("*").alias("rows")), "per_source")
     table = store(_shares(per_source, weights, epochs, budget), "shares")
     top = table.agg(F.count("*").alias("n"), F.max("leaves").alias("leaves")).first()
     named = table.toDF("t_source", *table.columns[1:])
-    named = F.broadcast(named) if top.n <= BROADCAST_SOURCES else named
+    named = F.broadcast(named) if top.n <= DRIVER_SOURCES else named
     mine = F.when(F.col("size") > 0, F.col("rate")).otherwise(0.0)
     part = F.col("n") * (mine - F.floor(mine))
     units = sizes.join(named, sizes.source.eqNullSafe(F.col("t_source"))).select(
@@ -196,7 +205,7 @@ def _rounded(sizes: DataFrame, weights: tuple[float, ...], epochs: int, budget:
     for more in whole[1:]:
         out = out.unionByName(more)
     plain = table.select(F.col("rank").alias("t_rank"), "source", "source_size", "target")
-    plain = F.broadcast(plain) if top.n <= BROADCAST_SOURCES else plain
+    plain = F.broadcast(plain) if top.n <= DRIVER_SOURCES else plain
     extra = F.col("extra") + F.col("share").cast("long")
     return out.join(plain, F.col("rank") == F.col("t_rank")).select("doc_id", "key0", "key1", "source", "size", "source_size", "target", "n", "copies", extra.alias("extra"))
 
@@ -228,21 +237,26 @@ def mix(
     """One row per document: doc_id, source, size, source_size, target, copies, taken.
 
     A source's taken words differ from its target by at most its largest document, and no
-    document is taken more than ``epochs`` times. Decisions depend on (doc_id, source, text) and
-    ``seed`` only, not on how rows are partitioned, so reruns agree. Rows equal in these three
+    document is taken more than ``epochs`` times. Decisions depend on the rows' values and
+    ``seed`` only, not on how rows are partitioned, so reruns agree. Rows equal in all columns
     are rounded one by one like any others; which of them is taken more often can't be told.
     Null and wordless texts have size 0 and are taken 0 times; very long texts are counted whole;
-    a null source is a source of its own and a null id an id like any other. Extra columns,
-    whatever their names, are ignored; an empty table gives no rows.
+    a null source is a source of its own and a null id an id like any other. Extra columns may
+    have any names; an empty table gives no rows.
     """
-    text = F.col(text_col).cast("string")
-    sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(text).alias("size"), *[k.alias(f"key{i}") for i, k in enumerate(digest(text))])
-    sizes = store(sizes.groupBy("doc_id", "source", "size", "key0", "key1").agg(F.count("*").alias("n")), "sizes")
+    sizes = _sizes(docs, id_col, text_col, source_col)
     rows = _repeated(_rounded(sizes, weights, epochs, budget, seed), "n", "row")
     copies = F.col("copies") + (F.col("row") < F.col("extra")).cast("long")
     return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
+def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(doc_id, source, size, key0, key1, n): rows equal in all columns, counted."""
+    key = [k.alias(f"key{i}") for i, k in enumerate(row_digest(docs))]
+    each = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col).cast("string")).alias("size"), *key)
+    return store(each.groupBy("doc_id", "source", "size", "key0", "key1").agg(F.count("*").alias("n")), "sizes")
+
+
 def _nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
 
@@ -260,12 +274,9 @@ def mixed(
 ) -> DataFrame:
     """``docs`` with every row as often as a mix takes it, same columns; rows taken 0 times go.
 
-    As ``mix``, but rows are told apart by a digest of all columns. Rows equal in all of them
-    are taken as often as their mix says, together.
+    Rows are told apart by a digest of all columns, as by ``mix``, and taken as often.
     """
-    key = [k.alias(f"key{i}") for i, k in enumerate(row_digest(docs))]
-    sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col).cast("string")).alias("size"), *key)
-    sizes = store(sizes.groupBy("doc_id", "source", "size", "key0", "key1").agg(F.count("*").alias("n")), "sizes")
+    sizes = _sizes(docs, id_col, text_col, source_col)
     plan = store(_rounded(sizes, weights, epochs, budget, seed).select("key0", "key1", "n", "copies", "extra"), "plan")
     n, times, k0, k1 = (unused(x, docs) for x in ("row", "times", "key0", "key1"))
     row = [F.col(quoted(c)) for c in docs.columns]
@@ -277,6 +288,6 @@ def mixed(
     more = plan.where("n > 1 and extra > 0").select("key0", "key1", "extra")
     if more.isEmpty():
         return out
-    keyed = within(docs, row_digest(docs), more.select("key0", "key1")).select(*key, F.struct(*row).alias("row"))
+    keyed = within(docs, row_digest(docs), more.select("key0", "key1")).select(*[k.alias(f"key{i}") for i, k in enumerate(row_digest(docs))], F.struct(*row).alias("row"))
     one = keyed.groupBy("key0", "key1").agg(F.first("row").alias("row")).join(more, ["key0", "key1"]).select("row", "extra")
     return out.unionByName(_repeated(one, "extra", "n").select("row.*"))
