@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 
@@ -109,3 +110,40 @@ def test_driver_table_and_empty(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     assert rows(urlfilter.judge(df)) == brute([(r.page_id, r.url) for r in df.collect()], [])
     assert urlfilter.judge(frame(spark, [])).collect() == []
+
+
+def test_query_carries_blocks_over_links(spark, tmp_path):
+    """The query over the driver's urls and pages that declare canonical links: by brute force and by its SQL."""
+    import duckdb
+
+    from textloom.llm.queries import ORACLE_SQL, op2_url_filter
+
+    own = [(r.page_id, r.url, r.html) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    linked = [(1000 + i, f"http://alias.io/{i}", f'<link rel="canonical" href="{own[i][1]}">') for i in range(len(own))] + [(2000 + i, f"http://far.io/{i}", f'<link rel="canonical" href="http://alias.io/{i}">') for i in range(len(own))]
+    path = f"{tmp_path}/pages.parquet"
+    spark.createDataFrame(own + linked, "page_id long, url string, html string").coalesce(1).write.parquet(path)
+    got = rows(op2_url_filter(spark, str(tmp_path)))
+    edges = [(u, re.search('href="([^"]*)', h)[1]) for _, u, h in linked]
+    assert got == brute([r[:2] for r in own + linked], edges)
+    assert sum(r[4] == "block" and r[3] is None for r in got) > 5
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{path}/*.parquet')")
+        columns = ("page_id", "host", "path", "rule", "verdict")
+        assert sorted(c.execute(f"SELECT {', '.join(columns)} FROM ({ORACLE_SQL['op2_url_filter']})").fetchall(), key=str) == got
+
+
+@pytest.mark.parametrize("h", ["<!--" * 250000, "<script>" * 120000, "<link " * 160000, "<meta " + " " * 1000000 + ">", "</script " * 100000 + "<script>" * 10000])
+def test_odd_html_of_a_megabyte_is_scanned_in_a_moment(h):
+    began = time.perf_counter()
+    assert urlfilter.declared("http://x.example/a", h + '<link rel=canonical href="/b">') in (["http://x.example/b"], [])
+    assert time.perf_counter() - began < 5
+
+
+def test_hidden_tags():
+    def found(h):
+        return urlfilter.declared("http://x.example/a", h)
+
+    link = '<link rel="canonical" href="/b">'
+    assert found(f"<!-- {link} -->{link}") == found(f"<SCRIPT>{link}</script >{link}") == found(f"<!-- <script> -->{link}") == found(link)
+    assert found(f"<!-- {link} --><script>{link}</script>") == []
+    assert found(f"<!-- {link}") == found(f"<script> {link}") == ["http://x.example/b"]

@@ -24,8 +24,8 @@ RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/
 #: Rules are held by every expression up to this number; beyond it they are joined.
 INLINE_RULES = 256
 
-_HIDDEN = re.compile(r"<!--.*?-->|<script\b.*?</script\s*>", re.DOTALL | re.IGNORECASE)
-_TAG = re.compile(r"<(?:link|meta)\b[^>]*>", re.IGNORECASE)
+_MARK = re.compile(r"<!--|<script\b|<(?:link|meta)\b[^>]*>", re.IGNORECASE)
+_SCRIPT_END = re.compile(r"</script\s*>", re.IGNORECASE)
 _ATTRIBUTE = re.compile(r"""\s([a-z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _REFRESH = re.compile(r"""[\d.\s]*[;,]?\s*url\s*=\s*["']?([^"']*)""", re.IGNORECASE)
 
@@ -96,10 +96,28 @@ def page_links(pages: DataFrame, *, url_col: str = "url", html_col: str = "html"
     return some.select(F.col(url_col).cast("string"), F.col(html_col).cast("string")).mapInArrow(run, "source string, target string")
 
 
+def _tags(html: str) -> Iterator[str]:
+    """link and meta tags outside comments and scripts, in one pass; a comment or script without an end hides nothing."""
+    last = html.rfind(">") + 1  # a tag ends before this
+    at, comment, script = 0, True, True
+    while m := _MARK.search(html, at, last):
+        at = m.end()
+        if m[0] == "<!--":
+            end = html.find("-->", at, last) if comment else -1
+            comment = end >= 0  # without one after here, later ones have none either
+            at = end + 3 if comment else at
+        elif m[0][1] in "sS":
+            end = _SCRIPT_END.search(html, at, last) if script else None
+            script = end is not None
+            at = end.end() if end else at
+        else:
+            yield m[0]
+
+
 def declared(url: str, html: str) -> list[str]:
     """URLs that a page names as its canonical address or sends its readers to."""
     out = []
-    for tag in _TAG.findall(_HIDDEN.sub(" ", html)):
+    for tag in _tags(html):
         attributes = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "").strip() for m in reversed(list(_ATTRIBUTE.finditer(tag)))}  # the first of equal names
         href = None
         if tag[1].lower() == "l" and "canonical" in attributes.get("rel", "").lower().split():
@@ -123,7 +141,9 @@ def judge(pages: DataFrame, *, rules=RULES, redirects: DataFrame | None = None,
     that the pages' html declares. verdict is the rule's; without one, ``allow`` if a rule allows
     a URL of the same component, else ``block`` if a rule blocks one, else ``allow``. A null URL
     or one without ``://`` has an empty host and path, fits no rule and is allowed. Null html
-    declares no edges. Repeated rows are kept and judged alike; extra columns are ignored; an
+    declares no edges; very long html is read whole, once. Of two rules of one length that fit,
+    the first by spelling decides, and of one rule that is allowed and blocked, the allowance.
+    Repeated rows are kept and judged alike; extra columns, whatever their names, are ignored; an
     empty table gives no rows.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
