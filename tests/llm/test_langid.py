@@ -92,3 +92,53 @@ def test_sample_is_bounded(spark):
     df = spark.createDataFrame([(i, f"w{i} " * (1 + i % 3000), "hot" if i % 10 else "rare") for i in range(1000)], "doc_id long, text string, lang string")
     got = langid.sample(df, rows=7)
     assert sorted(x for x, _ in got) == ["hot"] * 7 + ["rare"] * 7 and all(len(t) <= langid.SAMPLE_CHARS for _, t in got)
+    assert langid.sample(df.repartition(7), rows=7) == got
+
+
+DE, EN = "der hund und die katze liegen im garten und schlafen", "the cat and the dog sleep in the garden all day"
+
+
+@pytest.mark.parametrize("ids", ["null", "equal"])
+def test_rows_without_own_ids_are_learned_from(spark, ids):
+    rows = [(None if ids == "null" else 11, f"{(DE, EN)[i % 2]} {i}", ("de", "en")[i % 2]) for i in range(600)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()
+    assert {r.lang_pred for r in got} == {"de", "en"}
+
+
+def test_one_row_repeated_is_learned_from(spark):
+    rows = [(None, (DE, EN)[i % 2], ("de", "en")[i % 2]) for i in range(600)]
+    assert {r.lang_pred for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()} == {"de", "en"}
+
+
+def test_a_language_of_long_texts_is_learned(spark):
+    rows = [(3 * i, f"{DE} " * 1000 if i % 2 else EN, "de" if i % 2 else "en") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.identify(df).collect()}
+    assert all(got[d] == lang for d, _, lang in rows)
+    cut = dict(langid.sample(df))["de"]
+    assert len(cut) <= langid.SAMPLE_CHARS and set(cut.split()) <= set(DE.split())
+
+
+def test_query_by_brute_force(spark):
+    """Labels and scores by the sum over all paths of a text's words, text by text, from the trained weights."""
+    mix = (DE + " " + EN).split()
+    rows = [(i, " ".join(mix[(7 * i + k) % len(mix)] for k in range(1 + i % 6)), ("de", "en")[i % 2]) for i in range(40)]
+    df = spark.createDataFrame([*rows, (50, None, "de"), (51, "1 2", "en")], "doc_id long, text string, lang string")
+    model = langid.train(langid.sample(df.where("crc32(cast(doc_id as string)) % 3 <> 1")))
+    want = {}
+    for r in df.collect():
+        words = langid.words_of(r.text or "")
+        if not words:
+            want[r.doc_id] = ("und", 0.0)
+            continue
+        e, k, total = model.emissions(words), len(model.labels), 0.0
+        share = np.zeros(k)
+        for path in itertools.product(range(k), repeat=len(words)):
+            p = np.exp(model.start[path[0]] + sum(e[i, y] for i, y in enumerate(path)) + sum(model.transitions[x, y] for x, y in zip(path, path[1:])))
+            total += p
+            for y in path:
+                share[y] += p / len(words)
+        want[r.doc_id] = (model.labels[int(share.argmax())], float(share.max() / total))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(df).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[d][0] == want[d][0] and abs(got[d][1] - want[d][1]) < 1e-9 for d in want)

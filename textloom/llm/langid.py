@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold
+from .common import crc_fold, digest
 
-#: The training sample: at most this many labelled rows of each language, those of the smallest hashed ids...
+#: The training sample: at most this many distinct labelled rows of each language, those of the smallest hashes...
 SAMPLE_ROWS = 400
-#: ...among rows whose texts have at most this many characters.
+#: ...and of each of them a stretch of at most this many characters, from a hashed place on.
 SAMPLE_CHARS = 10_000
+#: Words that a training epoch draws from the sample at most.
+EPOCH_WORDS = 600_000
 #: Bits of the hashed feature space.
 BITS = 17
 #: Words of a training sequence, and of a block in which inference runs side by side.
@@ -225,7 +227,7 @@ def _first_block(m: np.ndarray, a: np.ndarray, entry: np.ndarray, begin: np.ndar
     return now
 
 
-def train(rows: list[tuple[str, str]], *, epochs: int = 3, rate: float = 0.5, seed: int = 5) -> Field:
+def train(rows: list[tuple[str, str]], *, epochs: int = 3, epoch_words: int = EPOCH_WORDS, rate: float = 0.5, seed: int = 5) -> Field:
     """A field from (language, text) rows by AdaGrad on the log-likelihood of alternating passages."""
     labels = sorted({lang for lang, _ in rows})
     k = len(labels)
@@ -248,7 +250,7 @@ def train(rows: list[tuple[str, str]], *, epochs: int = 3, rate: float = 0.5, se
     # Every language has the same share of passages, whatever its share of the rows.
     pools = [[np.array([number[w] for w in ws]) for y, ws in texts if y == j] for j in range(k)]
     live = [j for j in range(k) if pools[j]]
-    n_words = min(sum(map(len, (ws for _, ws in texts))), 600_000)
+    n_words = min(sum(map(len, (ws for _, ws in texts))), epoch_words)
     for _ in range(epochs):
         xs, ys, have = [], [], 0
         while have < n_words:
@@ -317,37 +319,58 @@ def _expectations(scores: np.ndarray, transitions: np.ndarray, start: np.ndarray
 
 
 def sample(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    """At most ``rows`` labelled rows of each language, by hashed id, of at most ``chars`` characters."""
-    fit = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= chars))
-    # A row's hash, from 0 to 1, is held against its language's share: no task sorts or ranks a language's rows.
-    u = F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("string"), F.lit(3)), 11) / F.lit(float(1 << 53))
-    own = fit.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), u.alias("u"))
-    counts = {r.lang: r["count"] for r in own.groupBy("lang").count().collect()}  # one row a language
+    """(language, text) of at most ``rows`` distinct labelled rows of each language, a stretch of at most ``chars`` characters of each.
+
+    Rows are drawn by a hash of (id, text, language), so that equal ids or texts do not fall
+    together, and the same whatever the partitions. Texts of every length are drawn alike; long
+    ones give a stretch whose place is hashed, without the words that it cuts.
+    """
+    text, lang = F.col(text_col).cast("string"), F.col(lang_col).cast("string")
+    own = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    key = dict(zip(("key0", "key1"), digest(F.col(id_col).cast("string"), F.col(id_col).isNull(), text, lang), strict=True))
+    own = own.select(lang.alias("lang"), *[k.alias(n) for n, k in key.items()], text.alias("text"))
+    distinct = own.select("lang", "key0", "key1").distinct()
+    counts = {r.lang: r.n for r in distinct.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
     if not counts:
         return []
+    # A row's hash, from 0 to 1, is held against its language's share: no task sorts or ranks a
+    # language's rows. Some four deviations more than are wanted are drawn, the last left out here.
+    u, v = (F.shiftrightunsigned(F.xxhash64(F.lit(k), "key0", "key1"), 11) / F.lit(float(1 << 53)) for k in (3, 4))
     shares = [(lang, (rows + 4 * rows**0.5 + 8) / n) for lang, n in counts.items()]
     shares = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, share double"))
-    drawn = own.join(shares, "lang").where("u < share").select("lang", "text", "u")
-    # About that many rows a language by expectation; repeated rows share a hash, so a limit holds as well.
-    got = sorted((r.lang, r.u, r.text) for r in drawn.limit(2 * (rows + 8) * len(counts)).collect())
+    at = F.floor(v * F.greatest(F.length("text") - chars, F.lit(0))).cast("int")
+    cut = F.struct(at.alias("at"), F.length("text").alias("whole"), F.substring("text", at + 1, F.lit(chars)).alias("text"))
+    drawn = own.join(shares, "lang").where(u < F.col("share")).select("lang", u.alias("u"), "key0", "key1", cut.alias("cut"))
+    got = drawn.groupBy("lang", "u", "key0", "key1").agg(F.first("cut").alias("cut")).select("lang", "u", "key0", "key1", "cut.*").collect()
     out: list[tuple[str, str]] = []
     kept: Counter = Counter()
-    for lang, _, t in got:
-        if kept[lang] < rows:
-            kept[lang] += 1
-            out.append((lang, t))
+    for r in sorted(got, key=lambda r: (r.lang, r.u, r.key0, r.key1)):
+        if kept[r.lang] < rows:
+            kept[r.lang] += 1
+            out.append((r.lang, _whole_words(r.text, r.at > 0, r.at + chars < r.whole)))
     return out
 
 
+def _whole_words(text: str, cut_before: bool, cut_after: bool) -> str:
+    """``text`` without the run of letters that a cut goes through."""
+    first = _RUN.match(text).end() if cut_before else 0
+    last = len(text) - _RUN.match(text[::-1]).end() if cut_after else len(text)
+    return text[first:last] if first < last else text
+
+
+_RUN = re.compile(r"[^\W\d_]*")
+
+
 def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held_fold: int = 1, rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, lang_pred, score.
 
     Learns from a bounded sample (``sample``) of the rows with a language whose crc32(doc_id as
-    text) modulo ``folds`` is not ``held_fold``; predictions see whole texts only. lang_pred is
-    the label with the largest sum of word posteriors, score its share of them. Texts that are
-    null or have no letter get ``und`` with score 0, and so do all where nothing could be
-    learned. A null id counts as the empty text. Repeated rows are kept; extra columns are
-    ignored; an empty table gives no rows.
+    text) modulo ``folds`` is not ``held_fold``; predictions see whole texts only, however long.
+    lang_pred is the label with the largest sum of word posteriors, the first of equal ones by
+    name, score its share of them. Texts that are null or have no letter get ``und`` with score
+    0, and so do all where nothing could be learned. A null id counts as the empty text. Repeated
+    rows are kept, and learned from once; extra columns, whatever their names, are ignored; an
+    empty table gives no rows. Languages are few: the model holds 2^17 weights of each.
     """
     fold = crc_fold(F.col(id_col), folds)
     model = train(sample(docs.where(fold != held_fold), id_col=id_col, text_col=text_col, lang_col=lang_col, rows=rows))
