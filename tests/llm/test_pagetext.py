@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import numpy as np
 import pytest
@@ -79,3 +80,47 @@ def test_odd_pages(spark):
     assert got[7].text.count("\n") == 20000
     assert got[None].text.count("\n") == 5
     assert pagetext.extract(df.where("page_id < 0")).collect() == []
+
+
+def test_text_of_formulas_and_fallbacks_stays():
+    h = f"""<article><h1>Title of it</h1><p>{SENTENCE} The value <math><mi>x</mi><mo>=</mo><mn>5</mn></math> holds.</p>
+    <p>{SENTENCE} <svg class="i"/> After an icon.</p><p>{SENTENCE}<svg><title>icon</title><path d="M"/></svg> End.</p><title-card>{SENTENCE}</title-card>
+    <p>{SENTENCE} <object>Fallback words</object> too.</p><p>{SENTENCE} <svg><path> unclosed</p><p>{SENTENCE} Last.</p></article>"""
+    want = ["Title of it", f"{SENTENCE} The value x=5 holds.", f"{SENTENCE} After an icon.", f"{SENTENCE} End.", SENTENCE, f"{SENTENCE} Fallback words too.", SENTENCE, f"{SENTENCE} Last."]
+    assert blocks(h) == want
+
+
+def test_attributes_are_read_to_their_end():
+    long = "x" * 5000
+    trees = pagetext.Trees()
+    trees.add(f'<div style="{long}" data-class="footer" class="sidebar">a</div><div class="sidebar">b</div>', 0)
+    assert trees.groups[1] == trees.groups[2] == 1 << list(pagetext.TOKENS).index("side")
+
+
+@pytest.mark.parametrize(
+    "h",
+    [
+        "<div>" * 20000 + "</span></section></p>" * 20000,
+        "<li><ul>" + "<div>" * 5000 + "<li></li>" * 20000,
+        "<p " * 333000,
+        '<p "' * 250001 + ">",
+        "<p " + "a " * 500000 + ">x",
+        "<script>" * 100000,
+        "<!-- " * 200000,
+        "<svg>" * 200000 + "<p>x",
+    ],
+)
+def test_odd_markup_of_a_megabyte_is_read_in_a_moment(h):
+    began = time.perf_counter()
+    trees = pagetext.Trees()
+    trees.add(h, 0)
+    assert time.perf_counter() - began < 10
+
+
+def test_query_by_brute_force(spark):
+    """The query's rows are what the trees say of each page by itself."""
+    from textloom.llm.queries import op10_page_text
+
+    d = "/root/testdata/sf0.001"
+    want = {r.page_id: (r.url, pagetext.main_texts([r.html], pagetext.trained())[0]) for r in spark.read.parquet(f"{d}/pages.parquet").collect()}
+    assert {r.page_id: (r.url, r.text) for r in op10_page_text(spark, d).collect()} == want

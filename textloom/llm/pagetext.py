@@ -27,19 +27,24 @@ SPLIT = -1.5
 
 _TOKEN = re.compile(
     r"""<(?:!--.*?(?:-->|\Z)"""
-    r"""|(script|style|noscript|template|svg|math|iframe|object|canvas|textarea|title|select|xmp)\b[^>]*>.*?(?:</\1\s*>|\Z)"""
+    r"""|(script|style|iframe|textarea|title|xmp|noembed|noframes)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"""
     r"""|(/?)([a-z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*|[^>]*)>"""
     r"""|[!?/][^>]*>)""",
     re.DOTALL | re.IGNORECASE,
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|aria-label|name)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NAMING = frozenset("class id role itemprop aria-label name".split())
+#: Characters of a start tag's attributes that are remembered; longer ones are read each time.
+KEPT_ATTRIBUTES = 400
 _SUBWORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 # HTML's inline elements, void elements, and elements that a start tag closes.
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr picture video audio source track map area img".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr picture video audio source track map area img object canvas math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd mspace mpadded mphantom menclose mstyle merror semantics".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 _CLOSED_BY = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+#: Elements whose content is no text of the page; those that a block's start tag ends, where their own end is missing.
+_MUTE, _MUTE_TO_BLOCK = frozenset("svg select template annotation annotation-xml".split()), frozenset("svg select".split())
 #: Elements that features tell apart.
 _TAGS = "article main section div p h nav header footer aside form list li table cell quote figure other".split()
 _TAG_OF = {"ul": "list", "ol": "list", "menu": "list", "dl": "list", "dt": "li", "dd": "li", "tr": "table", "tbody": "table", "thead": "table", "td": "cell", "th": "cell", "blockquote": "quote", "pre": "quote", "figcaption": "figure", "fieldset": "form", "button": "form", "dialog": "aside", **{f"h{i}": "h" for i in range(1, 7)}}
@@ -63,16 +68,19 @@ for _i, _words in enumerate(TOKENS.values()):
 _N_GROUPS = len(TOKENS)
 
 
-@lru_cache(maxsize=50_000)
 def _kind(tag: str, attributes: str) -> tuple[int, int]:
     """(number among _TAGS, bits of the token groups) of a start tag."""
-    groups = 0
-    for m in _ATTRIBUTE.finditer(attributes):
-        for w in _SUBWORD.findall(m[2] or m[3] or m[4] or ""):
-            groups |= _GROUP_OF.get(w.lower(), 0)
-    return _TAG_NUMBER[_TAG_OF.get(tag, tag)] if _TAG_OF.get(tag, tag) in _TAG_NUMBER else _TAG_NUMBER["other"], groups
+    groups = _GROUP_OF["notice"] if tag == "noscript" else 0
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        if name.lower() in _NAMING:
+            for w in _SUBWORD.findall(max(values, key=len)):
+                groups |= _GROUP_OF.get(w.lower(), 0)
+    return _TAG_NUMBER.get(_TAG_OF.get(tag, tag), _TAG_NUMBER["other"]), groups
 
 
+@lru_cache(maxsize=50_000)
+def _kept_kind(tag: str, attributes: str) -> tuple[int, int]:
+    return _kind(tag, attributes)
 _TAG_NUMBER = {t: i for i, t in enumerate(_TAGS)}
 
 
@@ -94,7 +102,7 @@ class Trees:
 
     def _node(self, parent: int, tag: str, attributes: str, page: int) -> int:
         i = len(self.parent)
-        kind, groups = _kind(tag, attributes[:2000])
+        kind, groups = (_kept_kind if len(attributes) <= KEPT_ATTRIBUTES else _kind)(tag, attributes)
         self.parent.append(i if parent < 0 else parent)
         self.depth.append(0 if parent < 0 else self.depth[parent] + 1)
         self.tag.append(kind)
@@ -106,12 +114,14 @@ class Trees:
         return i
 
     def add(self, html: str, page: int) -> None:
-        """Parse one page: unclosed and misnested elements as browsers do, in outline."""
+        """Parse one page: unclosed and misnested elements as browsers do, in outline, in time that follows its length."""
         root = self._node(-1, "html", "", page)
         names, nodes = ["html"], [root]
+        open_at: dict[str, list[int]] = {}  # places of the open elements of each name
         text: list[str] = []
         links = 0
         linked = 0
+        muted, inner = "", 0
 
         def flush():
             nonlocal linked
@@ -126,17 +136,22 @@ class Trees:
                     self.stops[node] += block.count(".") + block.count(",") + block.count("!") + block.count("?")
             linked = 0
 
-        def close(name: str):
+        def innermost(some) -> int:
+            """Place of the innermost open element of these names, 0 if none."""
+            return max((open_at[n][-1] for n in some if open_at.get(n)), default=0)
+
+        def close(place: int):
             nonlocal links
             flush()
             links = 0
-            while names.pop() != name:
+            while len(names) > place:
+                open_at[names.pop()].pop()
                 nodes.pop()
-            nodes.pop()
 
         at = 0
-        for m in _TOKEN.finditer(html):
-            if m.start() > at:
+        last = html.rfind(">") + 1  # beyond it no tag can end
+        for m in _TOKEN.finditer(html, 0, last):
+            if m.start() > at and not muted:
                 piece = html[at : m.start()]
                 text.append(piece)
                 if links:
@@ -145,6 +160,19 @@ class Trees:
             if m[3] is None:
                 continue
             name = m[3].lower()
+            if muted:
+                if name == muted:
+                    inner += -1 if m[2] else not m[4].endswith("/")
+                if inner and not (name in _CLOSES_P and not m[2] and muted in _MUTE_TO_BLOCK):
+                    continue
+                ended, muted = inner == 0, ""
+                if ended:
+                    continue
+            if name in _MUTE:
+                if not m[2] and not m[4].endswith("/"):
+                    muted, inner = name, 1
+                    self.inputs[nodes[-1]] += name == "select"
+                continue
             if name in _INLINE:
                 if name == "a":
                     links = 0 if m[2] else 1
@@ -159,8 +187,8 @@ class Trees:
                     self.inputs[nodes[-1]] += 1
                 continue
             if m[2]:
-                if name in names[1:]:
-                    close(name)
+                if place := innermost((name,)):
+                    close(place)
                 elif name == "p":
                     flush()
                 continue
@@ -168,25 +196,22 @@ class Trees:
                 continue
             flush()
             links = 0
-            if name == "body" and "head" in names:
-                close("head")
-            if name in _CLOSES_P and "p" in names:
-                close("p")
+            if name == "body" and (place := innermost(("head",))):
+                close(place)
+            if name in _CLOSES_P and (place := innermost(("p",))):
+                close(place)
             if name in _CLOSED_BY:
                 ends, walls = _CLOSED_BY[name]
-                for k in range(len(names) - 1, 0, -1):
-                    if names[k] in walls:
-                        break
-                    if names[k] in ends:
-                        close(names[k])
-                        break
+                if (place := innermost(ends)) > innermost(walls):
+                    close(place)
             if name == "button":
                 self.inputs[nodes[-1]] += 1
             if name[0] == "h" and name[1:].isdigit() and names[-1][0] == "h" and names[-1][1:].isdigit():
-                close(names[-1])
+                close(len(names) - 1)
             nodes.append(self._node(nodes[-1], name, m[4], page))
+            open_at.setdefault(name, []).append(len(names))
             names.append(name)
-        if at < len(html):
+        if at < len(html) and not muted and not (at == last and at and html[at - 1] != ">"):
             text.append(html[at:])
         flush()
 
@@ -404,8 +429,10 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
 
     text holds the article's blocks, character references decoded, white space turned into one
     space and trimmed, in page order, joined by a newline. Null and empty html give an empty
-    text. Whole pages are read, whatever their length and nesting. Repeated rows are kept; extra
-    columns are ignored; an empty table gives no rows.
+    text. Whole pages are read, whatever their length and nesting, in time that follows it. Where
+    taking a subtree and splitting it are as good, it is not split; where taking and leaving it
+    are, it is left. Repeated rows are kept; extra columns, whatever their names, are ignored; an
+    empty table gives no rows.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model or trained())
     slim = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
