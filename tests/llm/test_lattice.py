@@ -59,17 +59,8 @@ def test_long_words_agree():
         assert lattice.LongWord(np.array([97] * 300_000, np.uint32), p).forward()[-1] < 0
 
 
-def brute(rows, vocab):
-    """The whole model by its definition on a small table."""
-    words = lambda t: [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
-    held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2
-    train = [words(t) for d, t in rows if not held(d)]
-    count = {}
-    for ws in train:
-        for w in ws:
-            count[w] = count.get(w, 0) + 1
-    n, v = sum(count.values()) + len(train), len(count) + bool(train)
-    p = Pieces.of(vocab)
+def expected_weights(p, count, ends):
+    """New weights from all segmentations of all training words, one by one."""
     logp = weights(p)
     use, spelled = dict.fromkeys(logp, 0.0), 0.0
     for w, c in count.items():
@@ -90,7 +81,22 @@ def brute(rows, vocab):
                 walk(i + 1, sofar + p.spell - len(text[i].encode()) * math.log(256), uses, misses + 1)
 
         walk(0, 0.0, [], 0)
-    q = p.reweighted(np.array([use[{lattice._hash(x): x for x in use}[int(k)]] for k in p.keys]), spelled, len(train))
+    return p.reweighted(np.array([use[{lattice._hash(x): x for x in use}[int(k)]] for k in p.keys]), spelled, ends)
+
+
+def brute(rows, vocab, rounds=1):
+    """The whole model by its definition on a small table."""
+    words = lambda t: [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
+    held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2
+    train = [words(t) for d, t in rows if not held(d)]
+    count = {}
+    for ws in train:
+        for w in ws:
+            count[w] = count.get(w, 0) + 1
+    n, v = sum(count.values()) + len(train), len(count) + bool(train)
+    q = Pieces.of(vocab)
+    for _ in range(rounds):
+        q = expected_weights(q, count, len(train))
     logq = weights(q)
     out = []
     for d, t in rows:
@@ -112,10 +118,10 @@ def same(got, want):
         assert g[:5] == w[:5] and g[5:] == pytest.approx(w[5:], rel=1e-9, abs=1e-6)
 
 
-@pytest.mark.parametrize("head", [0, 3, 1000])
-def test_matches_brute_force(spark, head):
+@pytest.mark.parametrize(("head", "rounds"), [(0, 1), (3, lattice.ROUNDS), (1000, 0)])
+def test_matches_brute_force(spark, head, rounds):
     df = spark.createDataFrame([(*r, "x", 1) for r in ROWS], "doc_id long, text string, word string, n int").repartition(3)
-    same(lattice.score(df, vocabulary=VOCAB, head_words=head, rounds=1).collect(), brute(ROWS, VOCAB))
+    same(lattice.score(df, vocabulary=VOCAB, head_words=head, rounds=rounds).collect(), brute(ROWS, VOCAB, rounds))
 
 
 def test_all_held_out_and_empty(spark):
@@ -134,3 +140,14 @@ def test_driver_table(spark):
     again = lattice.score(df.repartition(5)).collect()
     assert sorted((r.doc_id, round(r.score, 5), round(r.base_score, 6)) for r in again) == sorted((r.doc_id, round(r.score, 5), round(r.base_score, 6)) for r in got)
     print("held out, log10 a token:", sum(r.score for r in held) / sum(r.n_tokens for r in held), "base", sum(r.base_score for r in held) / sum(r.n_tokens for r in held))
+
+
+def test_scores_of_a_unigram_vocabulary_are_its_weights():
+    """Log probabilities are kept in proportion; whole numbers are ranks and weighed by Zipf's law."""
+    scored = {"a": -1.5, "b": -2.25, "ab": -0.75}
+    p = Pieces.scored(scored)
+    got = {w: float(p.logp[np.searchsorted(p.keys, np.uint64(lattice._hash(w)))]) for w in scored}
+    assert all(got[w] - got["a"] == pytest.approx(scored[w] - scored["a"]) for w in scored)
+    assert sum(math.exp(x) for x in got.values()) == pytest.approx(0.8)
+    ranks = Pieces.scored({w: -float(i) for i, w in enumerate(VOCAB)})
+    assert np.allclose(ranks.logp, Pieces.of(VOCAB).logp)

@@ -3,8 +3,8 @@
 A text is a row of words and an end. A word, with a mark in front, may be cut into pieces of an
 existing vocabulary in many ways; its probability is the sum over all of them of the product of
 the pieces' unigram probabilities, found by a forward recursion in log space. The vocabulary is
-never trained. Its own ranking gives the first weights (Zipf's law over the ranks); a few rounds
-of forward and backward recursions over the training words' lattices turn these into expected
+never trained. Its scores give the first weights (of a vocabulary that has merge ranks instead,
+Zipf's law over the ranks); a few rounds of forward and backward recursions over the training words' lattices turn these into expected
 counts of pieces, which the final weights are made of.
 
 Every distinct word is scored once. The commonest words, a fixed number of them, go to every
@@ -66,18 +66,27 @@ class Pieces:
 
     @classmethod
     def load(cls, path: str = VOCABULARY) -> Pieces:
-        """The pieces of a sentencepiece model, in the order of its scores, weighted by Zipf's law."""
+        """The pieces of a sentencepiece model with its scores."""
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         special = [model.is_unknown, model.is_control, model.is_byte, model.is_unused]
-        rows = [(-model.get_score(i), model.id_to_piece(i)) for i in range(model.get_piece_size()) if not any(f(i) for f in special)]
-        return cls.of([p for _, p in sorted(rows)])
+        return cls.scored({model.id_to_piece(i): model.get_score(i) for i in range(model.get_piece_size()) if not any(f(i) for f in special)})
 
     @classmethod
-    def of(cls, pieces: list[str]) -> Pieces:
-        pieces = [p for p in dict.fromkeys(pieces) if p]
-        weight = 1.0 / (np.arange(len(pieces)) + 2.7)
+    def scored(cls, scores: dict[str, float]) -> Pieces:
+        """Weights in proportion to the scores' probabilities; scores that are whole numbers are ranks, as merges have them."""
+        order = sorted((-s, p) for p, s in scores.items())
+        if all(float(s).is_integer() for s in scores.values()):
+            return cls.of([p for _, p in order])
+        return cls.of([p for _, p in order], np.exp(np.array([-s for s, _ in order], float)))
+
+    @classmethod
+    def of(cls, pieces: list[str], weight: np.ndarray | None = None) -> Pieces:
+        """``pieces``, each once, with ``weight``; without one, in the order of Zipf's law."""
+        some = [i for i, p in enumerate(pieces) if p] if weight is not None else []
+        pieces = [pieces[i] for i in some] if weight is not None else [p for p in dict.fromkeys(pieces) if p]
+        weight = 1.0 / (np.arange(len(pieces)) + 2.7) if weight is None else weight[some]
         hashes = np.array([_hash(p) for p in pieces], np.uint64)
         order = np.argsort(hashes)
         # A tenth of the mass each for spelling and the end, until counts say better.
@@ -350,9 +359,9 @@ def score(
     Learns from the rows whose crc32(doc_id as text) modulo ``folds`` is not ``held_fold``.
     score is the log10 of the text's probability under the lattice model; base_score adds
     log10((c+1)/(N+V+1)) over tokens, the end being one. Null and empty texts have the end only;
-    a null id counts as the empty text for its fold. Words of any length are scored whole.
-    Repeated rows are repeated in training and result; extra columns are ignored; an empty table
-    gives no rows. ``head_words`` changes the cost, never the result.
+    a null id counts as the empty text for its fold. Very long texts and words are scored whole.
+    Repeated rows are repeated in training and result; extra columns, whatever their names, are
+    ignored; an empty table gives no rows. ``head_words`` changes the cost, never the result.
     """
     spark: SparkSession = docs.sparkSession
     fold = crc_fold(F.col(id_col), folds)
