@@ -143,4 +143,29 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN words USING (row_no) LEFT JOIN items USING (row_no)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_url_filter": _OP2_SQL, "op4_decontamination": _OP4_SQL, "op5_chat": _OP5_SQL}
+_OP7_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_no, doc_id, source AS host, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), raw AS (SELECT row_no, host, line, pos FROM (SELECT row_no, host, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d)),
+lines AS (
+  SELECT row_no, host, pos, line, len(lw) AS words, translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS normal
+  FROM (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw FROM raw) WHERE len(lw) > 0
+), dup AS (SELECT row_no, sum(n - 1)::BIGINT AS n FROM (SELECT row_no, line, count(*) AS n FROM lines GROUP BY ALL) GROUP BY row_no),
+doc AS (SELECT row_no, host, coalesce(string_agg(normal, chr(10) ORDER BY pos), '') AS whole FROM d LEFT JOIN lines USING (row_no, host) GROUP BY row_no, host),
+hosts AS (SELECT host, count(DISTINCT whole) AS docs FROM (SELECT d.row_no, d.host, coalesce(whole, '') AS whole FROM d LEFT JOIN doc USING (row_no)) GROUP BY host),
+held AS (SELECT l.host, l.normal, count(DISTINCT whole) AS n FROM lines l JOIN doc USING (row_no) GROUP BY l.host, l.normal),
+bad AS (SELECT held.host, normal FROM held JOIN hosts ON held.host IS NOT DISTINCT FROM hosts.host WHERE n > greatest(10.0::DOUBLE, docs * 0.005::DOUBLE)),
+gone AS (SELECT row_no, sum(words)::BIGINT AS n FROM lines l JOIN bad ON l.normal = bad.normal AND l.host IS NOT DISTINCT FROM bad.host GROUP BY row_no),
+win AS (SELECT row_no, p, [w[p], w[p + 1], w[p + 2]] AS k FROM (SELECT row_no, w, unnest(range(1, len(w) - 1)) AS p FROM d WHERE len(w) > 3)),
+twice AS (SELECT row_no, p FROM (SELECT row_no, p, count(*) OVER (PARTITION BY row_no, k) AS n FROM win) WHERE n > 1),
+rep AS (SELECT row_no, count(DISTINCT q)::BIGINT AS n FROM (SELECT row_no, unnest([p, p + 1, p + 2]) AS q FROM twice) GROUP BY row_no),
+counted AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(length(array_to_string(w, '')), 0)::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS n_removed_words
+  FROM d LEFT JOIN dup USING (row_no) LEFT JOIN rep USING (row_no) LEFT JOIN gone USING (row_no)
+)
+SELECT *, base_failed = false AND n_words - n_removed_words >= 0.3::DOUBLE * n_words AS kept
+FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_url_filter": _OP2_SQL, "op4_decontamination": _OP4_SQL, "op5_chat": _OP5_SQL, "op7_quality": _OP7_SQL}
