@@ -1,9 +1,11 @@
+import time
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from textloom.functions.normalize import normalize, truncate_bytes
+from textloom.functions.normalize import normalize, pattern_step, truncate_bytes
 
 _JA = "\u65e5\u672c\u8a9e\u306e\u30c6\u30ad\u30b9\u30c8"
 GOLDEN = [
@@ -61,6 +63,41 @@ def test_bounds_hold(spark, texts):
             assert 10 <= len(body.encode()) <= 64 and any(c.isalpha() for c in body)
 
 
-def test_no_blow_up_on_long_runs(spark):
-    df = spark.createDataFrame([("x" * 400_000,), ("[" * 2000,), ("a@" * 50_000,)], "text string")
-    assert df.select(normalize(F.col("text"))).count() == 3
+LONG = {
+    "strip_markdown": ["[" * 1_000_000, "[a](" * 250_000, "[a] " * 250_000 + "](x", "[" * 500_000 + "](x)", "[a](b)" * 170_000],
+    "strip_urls": ["http://" * 140_000, "http://a " * 110_000],
+    "strip_emails": ["a@" * 500_000, "@" * 1_000_000, "a@b " * 250_000, "x" * 1_000_000, "a@b." * 250_000],
+    "strip_hashes": ["a" * 1_000_000, "a" * 999_999 + "z"],
+    "strip_hex": ["0x" * 500_000],
+    "strip_paths": ["/ab" * 330_000, "/" * 1_000_000, "/a /b " * 160_000],
+    "strip_versions": ["1." * 500_000, "1.1.1.1 " * 120_000, "1." * 400_000 + "x", "1.\u0663." * 200_000],
+    "strip_users": ["u/" * 500_000, "u/ " * 330_000],
+    "strip_numbers": ["1" * 1_000_000, "1" * 999_999 + "a"],
+    "collapse_punct": ["!" * 1_000_000, "!?" * 500_000],
+    "collapse_ws": [" \t" * 500_000],
+}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_a_megabyte_takes_a_moment(spark, name):
+    """No rule overflows a stack or takes more than time in proportion; the results are read, not only counted."""
+    df = spark.createDataFrame([(t,) for t in LONG[name]], "text string").repartition(4)
+    began = time.perf_counter()
+    got = df.select(F.length(pattern_step(name)(F.col("text"))).alias("n"), F.length(normalize(F.col("text"), max_bytes=0)).alias("whole")).collect()
+    assert len(got) == len(LONG[name]) and all(r.n is not None for r in got)
+    assert time.perf_counter() - began < 40
+
+
+CASES = {
+    "strip_markdown": [("a [b](c) d", "a b d"), ("[x] [b](c)", "[x] b"), ("[[a](b)", "[a"), ("[a](b [c](d)", "a"), ("[a](b", "[a](b"), ("[a] [b", "[a] [b"), ("[](x)y", "y")],
+    "strip_emails": [("a@b.c", ""), ("@a@b.c d", " d"), ("@b.c", "@b.c"), ("a@.c", "a@.c"), ("a@b. x", "a@b. x"), ("a@@b.c!", ""), ("x a@b.c@d y", "x  y"), ("a@b@c.d", "")],
+    "strip_paths": [("/a/b", ""), ("/a", "/a"), ("x/a/b.c-d/ y", "x/ y"), ("//a/b", "/")],
+    "strip_versions": [("1.2.3", ""), ("1.2.3.4x", ".4x"), ("1.2.3x", "1.2.3x"), ("v1.2.3.", "."), ("1.2", "1.2"), ("a1.2.3", "a1.2.3"), ("1.2.\u0663.4 z", " z"), ("1.2.3.\u0663 z", ".\u0663 z")],
+}
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_rules_of_possessive_loops(spark, name):
+    df = spark.createDataFrame([(t, w) for t, w in CASES[name]], "text string, want string")
+    for r in df.select("text", "want", pattern_step(name)(F.col("text")).alias("got")).collect():
+        assert r.got == r.want, r.text

@@ -15,15 +15,17 @@ from pyspark.sql import functions as F
 _WORD = "[0-9A-Za-z_]"
 _EDGE = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
 
-#: Name, pattern, replacement, in the order in which they apply.
+#: Name, pattern, replacement, in the order in which they apply. Loops that can't help by
+#: giving back are possessive, as Java's regular expressions keep a stack frame for a group that may.
+#: Brackets that are no link are matched, too, and put back, so that none is searched for twice.
 PATTERNS = (
-    ("strip_markdown", r"\[([^\]]*)\]\([^)]*\)", "$1"),
+    ("strip_markdown", r"\[([^\]]*+)\]\([^)]*+\)|(\[[^\]]*+(?:\](?:\([^)]*+\z)?+|\z))", "$1$2"),
     ("strip_urls", r"(?iU)\[?https?://\S+\]?", ""),
-    ("strip_emails", r"(?U)(?<!\S)\S+@\S+\.\S+", ""),  # anchored at a run's start: linear, same matches
+    ("strip_emails", r"(?U)(?<!\S)\S[^\s@]*+@\S+\.\S+", ""),  # from a run's start to its first @: later ones match no more
     ("strip_hashes", rf"{_EDGE}[0-9a-fA-F]{{32,}}{_EDGE}", ""),
     ("strip_hex", r"0x[0-9a-fA-F]+", ""),
-    ("strip_paths", r"(?U)(?:/[\w.\-]+){2,}", ""),
-    ("strip_versions", rf"(?U){_EDGE}v?\d+\.\d+(?:\.\d+)+{_EDGE}", ""),
+    ("strip_paths", r"(?U)(?:/[\w.\-]++){2,}+", ""),
+    ("strip_versions", rf"(?U){_EDGE}v?\d+\.\d+(?:(?:\.\d++(?!{_EDGE}))*+\.\d+{_EDGE})++", ""),  # parts up to the last that ends at an edge
     ("strip_issues", r"(?U)#\d+", ""),
     ("strip_users", r"(?U)/?u/\S+", ""),
     ("strip_boards", r"(?U)/?r/\S+", ""),
