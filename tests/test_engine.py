@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from textloom.config import EmbedConfig, autoscale, hidden_dim, parse_devices, parse_format, parse_sizes
+from textloom.config import EmbedConfig, autoscale, hidden_dim, parse_format, parse_sizes
 from textloom.errors import ConfigError, ModelError
 from textloom.operators import models
 from textloom.operators.encoders import HashEncoder, l2_normalize, mean_pool, output_name
@@ -86,7 +86,7 @@ def test_vector_math():
     assert mean_pool(np.array([[[1.0, 3], [3, 5]]]), np.array([[1, 1]])).tolist() == [[2, 4]]
     assert mean_pool(np.array([[[1.0, 3], [3, 5]]]), np.array([[0, 0]])).tolist() == [[0, 0]]
     assert np.allclose(l2_normalize(np.array([[3.0, 4], [0, 0]])), [[0.6, 0.8], [0, 0]])
-    assert word_hash_tokenizer(5)("a b c d e")[0] == 0 and len(word_hash_tokenizer(5)("a b c d e")) == 5
+    assert word_hash_tokenizer(5)(["a b c d e"])[0][0] == 0 and len(word_hash_tokenizer(5)(["a b c d e"])[0]) == 5
     assert output_name(["x"]) == "x" and output_name(["pooler", "last_hidden_state"]) == "last_hidden_state"
     with pytest.raises(ModelError):
         output_name(["a", "b"])
@@ -98,7 +98,7 @@ def test_config():
     for bad in (dict(buckets=(), batch_sizes=()), dict(buckets=(8,), batch_sizes=(1, 2)), dict(buckets=(8, 8), batch_sizes=(1, 1)), dict(buckets=(8,), batch_sizes=(0,)), dict(truncation=0), dict(tokenize_workers=0)):
         with pytest.raises(ConfigError, match="config: "):
             EmbedConfig(**bad)
-    assert parse_sizes("1, 2") == (1, 2) and parse_devices("all") is None and parse_devices("0,1") == (0, 1) and parse_format("plain") == "plain"
+    assert parse_sizes("1, 2") == (1, 2) and parse_format("plain") == "plain"
     for f, x in ((parse_sizes, "a"), (parse_sizes, ""), (parse_format, "csv")):
         with pytest.raises(ConfigError):
             f(x)

@@ -8,7 +8,7 @@ from textloom import cli
 from textloom.errors import InputOutputError, TokenizerError
 from textloom.operators import vocab
 from textloom.operators.dedup import fnv1a
-from textloom.operators.tokenize import CachedTokenizer
+from textloom.operators.tokenize import Words
 from textloom.plans.engine import Engine
 from textloom.sources import text
 from textloom.streaming.embed import embed_stream, read_stream
@@ -82,7 +82,10 @@ class Letters:
         return {"<s>": 7}.get(t)
 
     def get_vocab(self):
-        return {"▁ab": 1, "cd": 2, "e": 3, "▁" + "x" * 45: 4, "12": 5}
+        return {"▁ab": 1, "cd": 2, "e": 3, "▁" + "x" * 45: 4, "▁" + "x" * 46: 6, "12": 5}
+
+    def encode_batch(self, words, add_special_tokens=False):
+        return [self.encode(w) for w in words]
 
     def encode(self, s, add_special_tokens=False):
         if "!" in s:
@@ -110,10 +113,12 @@ def test_vocab_files_and_tokenizer(spark, tmp_path):
     (tmp_path / "cut.bin").write_bytes(open(path, "rb").read()[:-3])
     with pytest.raises(TokenizerError):
         vocab.load(str(tmp_path / "cut.bin"))
-    t = CachedTokenizer(Letters(), 8, entries)
-    assert t("ab cd cd no!") == [7, 1, 2, 99, 100, 99, 100, 2]
-    assert t("no! ab") == [7, 3, 1, 2, 2] and (t.hits, t.runtime_hits, t.misses) == (3, 1, 2) and t.hit_rate == 0.6
-    assert set(vocab.from_tokenizer(Letters())) == {"▁ab", "cd"}
+    for batches in ([["ab cd cd no!", "no! ab"]], [["ab cd cd no!"], ["no! ab"]]):
+        t = Words(Letters(), 8, entries)
+        assert [ids for b in batches for ids in t(b)] == [[7, 1, 2, 99, 100, 99, 100, 2], [7, 3, 1, 2, 2]]
+        assert (t.hits, t.runtime_hits, t.misses) == (3, 1, 2) and t.hit_rate == 0.6
+    assert Words(Letters(), 8, entries)(["", "é é é", "ab ab ab ab"]) == [[7, 2], [7, 2], [7, 1, 2, 1, 2, 1, 2, 2]]
+    assert set(vocab.from_tokenizer(Letters())) == {"▁ab", "cd", "▁" + "x" * 45}
     df = spark.createDataFrame([("Ab ab 12 cd",), ("ab 7 cd ef",)], "text string")
     assert [tuple(r) for r in vocab.top_words(df, most=2).collect()] == [("ab", 3), ("cd", 2)]
     assert set(vocab.from_corpus(df, Letters(), most=2)) == {"▁ab", "▁cd"}

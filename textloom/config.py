@@ -28,7 +28,6 @@ class EmbedConfig:
     min_input_bytes: int = 10
     prefix: str = "passage: "
     telemetry: bool = True
-    batch_timeout_ms: int = 5
     dedup_capacity: int = 0
     dim: int = 8
 
@@ -80,7 +79,3 @@ def parse_sizes(text: str) -> tuple[int, ...]:
         raise ConfigError("an empty list of numbers")
     return out
 
-
-def parse_devices(text: str) -> tuple[int, ...] | None:
-    """``all`` (None) or comma-separated device numbers."""
-    return None if text.strip() == "all" else parse_sizes(text)

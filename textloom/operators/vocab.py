@@ -61,13 +61,15 @@ def count(path: str) -> int | None:
 def from_tokenizer(tokenizer) -> dict[str, list[int]]:
     """Words of a tokenizer's own vocabulary that a cache can answer, with their ids.
 
-    Marked tokens of at most 45 characters and other tokens of 2 to 20, each with a letter.
+    Marked tokens of at most 45 characters after the mark and other tokens of 2 to 20, each with
+    a letter; what the tokenizer has no ids for is left out.
     """
     out = {}
     for token in tokenizer.get_vocab():
         marked = token.startswith(MARK)
-        if _LETTER.search(token) and (marked and len(token) <= 45 or not marked and 2 <= len(token) <= 20):
-            out[token] = tokenizer.encode(token, add_special_tokens=False).ids
+        if _LETTER.search(token) and (marked and len(token) - 1 <= 45 or not marked and 2 <= len(token) <= 20):
+            if ids := tokenizer.encode(token, add_special_tokens=False).ids:
+                out[token] = ids
     return out
 
 

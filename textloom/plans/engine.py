@@ -20,12 +20,16 @@ from ..operators.metrics import EmbedStats
 from ..shared import store
 
 
-def word_hash_tokenizer(max_len: int) -> Callable[[str], list[int]]:
+#: Texts of a batch to their token ids.
+Tokenizer = Callable[[list[str]], list[list[int]]]
+
+
+def word_hash_tokenizer(max_len: int) -> Tokenizer:
     """A tokenizer without a vocabulary: a word's id is its checksum, 0 and 2 stand around the text."""
     import zlib
 
-    def tokenize(text: str) -> list[int]:
-        return [0, *(3 + zlib.crc32(w.encode()) % 250_000 for w in text.split()[: max_len - 2]), 2]
+    def tokenize(texts: list[str]) -> list[list[int]]:
+        return [[0, *(3 + zlib.crc32(w.encode()) % 250_000 for w in t.split()[: max_len - 2]), 2] for t in texts]
 
     return tokenize
 
@@ -48,7 +52,7 @@ ENCODED = T.StructType(
 )
 
 
-def encode_texts(texts: DataFrame, config: EmbedConfig, encoder: Encoder, make_tokenizer: Callable[[], Callable[[str], list[int]]]) -> DataFrame:
+def encode_texts(texts: DataFrame, config: EmbedConfig, encoder: Encoder, make_tokenizer: Callable[[], Tokenizer]) -> DataFrame:
     """ENCODED rows of (norm_text[, seq, id]): tokenized, batched by bucket within each task, encoded.
 
     A batch holds rows of one bucket, at most its batch size; a batch that fails marks its own
@@ -110,12 +114,10 @@ def encode_texts(texts: DataFrame, config: EmbedConfig, encoder: Encoder, make_t
             return pa.RecordBatch.from_arrays([*(pa.array([None] * len(rows), k) for k in kinds), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=ENCODED.names)
 
         for b in batches:
-            empty = []
-            for text, *key in zip(*(c.to_pylist() for c in b.columns)):
-                if text is None:
-                    empty.append(key)
-                    continue
-                tokens = tokenize(text)
+            rows = list(zip(*(c.to_pylist() for c in b.columns)))
+            empty = [key for text, *key in rows if text is None]
+            some = [r for r in rows if r[0] is not None]
+            for (text, *key), tokens in zip(some, tokenize([r[0] for r in some])):
                 k = min(int(np.searchsorted(buckets, len(tokens))), len(buckets) - 1)
                 waiting[k].append((text, key, tokens))
                 if len(waiting[k]) >= sizes[k]:
@@ -171,7 +173,7 @@ class EmbedResult:
 class Engine:
     """Embeds DataFrames of (seq, id, text); usable any number of times."""
 
-    def __init__(self, config: EmbedConfig | None = None, encoder: Encoder | None = None, make_tokenizer: Callable[[], Callable[[str], list[int]]] | None = None):
+    def __init__(self, config: EmbedConfig | None = None, encoder: Encoder | None = None, make_tokenizer: Callable[[], Tokenizer] | None = None):
         self.config = config or EmbedConfig()
         if encoder is None and self.config.model:
             from ..operators.encoders import OnnxEncoder
@@ -189,7 +191,10 @@ class Engine:
         return self.encoder.dim
 
     def plan(self, messages: DataFrame) -> DataFrame:
-        """``messages`` with norm_text, status and what the encoder made of them; nothing runs yet."""
+        """``messages`` with norm_text, status and what the encoder made of them.
+
+        Nothing runs yet, but that texts to be told apart (``dedup_capacity``) are normalized and stored.
+        """
         c = self.config
         text = normalize(F.col("text"), lowercase=c.lowercase, max_bytes=c.truncation, min_bytes=c.min_bytes, prefix=c.prefix)
         rows = messages.select(F.col("seq").cast("long").alias("seq"), F.col("id").cast("string").alias("id"), text.alias("norm_text"))
@@ -211,18 +216,18 @@ class Engine:
         return EmbedResult(df, self.config, self.hidden_dim, full, encoded, started)
 
 
-def model_tokenizer(folder: str, max_len: int) -> Callable[[], Callable[[str], list[int]]]:
+def model_tokenizer(folder: str, max_len: int) -> Callable[[], Tokenizer]:
     """Makes the cached tokenizer of a model's folder in a worker."""
 
     def make():
         import os
 
-        from tokenizers import Tokenizer
+        import tokenizers
 
         from textloom.operators import vocab
-        from textloom.operators.tokenize import CachedTokenizer
+        from textloom.operators.tokenize import Words
 
         path = os.path.join(folder, "vocab_cache.bin")
-        return CachedTokenizer(Tokenizer.from_file(os.path.join(folder, "tokenizer.json")), max_len, vocab.load(path) if vocab.count(path) else {})
+        return Words(tokenizers.Tokenizer.from_file(os.path.join(folder, "tokenizer.json")), max_len, vocab.load(path) if vocab.count(path) else {})
 
     return make
