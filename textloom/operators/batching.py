@@ -2,28 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import bucket_of, by_bucket, mask, pad
+from ..sources.text import dense_seq
 
 
-def with_batches(df: DataFrame, length: str, order: str, buckets, batch_sizes, *, salts: int = 1) -> DataFrame:
+def with_batches(df: DataFrame, length: str, order: str, buckets, batch_sizes) -> DataFrame:
     """``df`` with bucket, batch and place: rows of a bucket in turns of the bucket's batch size.
 
-    With ``salts`` above 1 each bucket is dealt over that many streams by a hash of ``order``,
-    each with batches of its own, so that a bucket that holds most rows isn't numbered by one task.
+    Rows are numbered in their bucket by a sort over many tasks, as one bucket may hold most of them.
     """
-    df = df.withColumn("bucket", bucket_of(F.col(length), buckets))
-    df = df.withColumn("stream", F.pmod(F.xxhash64(order), F.lit(salts)) if salts > 1 else F.lit(0).cast("long"))
-    at = F.row_number().over(Window.partitionBy("bucket", "stream").orderBy(order)) - 1
+    numbered = dense_seq(df.withColumn("bucket", bucket_of(F.col(length), buckets)), order, name="place", by=("bucket",))
     size = by_bucket(F.col("bucket"), batch_sizes)
-    return df.withColumn("__at", at).withColumn("batch", F.floor(F.col("__at") / size)).withColumn("place", F.col("__at") % size).drop("__at")
+    return numbered.withColumns({"batch": F.floor(F.col("place") / size), "place": F.col("place") % size})
 
 
 def batch_table(batched: DataFrame, batch_sizes) -> DataFrame:
-    """(bucket, stream, batch, n_real, batch_size): one row for each batch."""
-    return batched.groupBy("bucket", "stream", "batch").agg(F.count("*").alias("n_real")).withColumn("batch_size", by_bucket(F.col("bucket"), batch_sizes))
+    """(bucket, batch, n_real, batch_size): one row for each batch."""
+    return batched.groupBy("bucket", "batch").agg(F.count("*").alias("n_real")).withColumn("batch_size", by_bucket(F.col("bucket"), batch_sizes))
 
 
 def fill(batches: DataFrame) -> DataFrame:

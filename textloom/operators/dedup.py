@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import store
+
 
 def fnv1a(data: bytes) -> int:
     """64-bit FNV-1a."""
@@ -25,11 +27,12 @@ def distinct_texts(df: DataFrame, text: str, *, nulls: bool = True) -> DataFrame
 def once_per_text(df: DataFrame, text: str, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``df`` joined with what ``work`` makes of its distinct texts (text, ...); null texts get nulls.
 
-    Counts are combined before the shuffle; a text that holds most rows is split by Spark's
+    ``df`` is stored first, so that what its texts come from is done once. Counts are combined before the shuffle; a text that holds most rows is split by Spark's
     skewed-join handling, as its own row on the other side is one.
     """
-    done = work(distinct_texts(df, text).select(text))
-    return df.join(done, text, "left")
+    rows = store(df, "texts")
+    done = work(distinct_texts(rows, text).select(text))
+    return rows.join(done, text, "left")
 
 
 def stats(df: DataFrame, text: str, *, nulls: bool = True) -> DataFrame:

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import asdict, dataclass
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import shuffle_partitions, store
+
 
 @dataclass(frozen=True)
 class EmbedStats:
@@ -41,37 +45,29 @@ class EmbedStats:
         return json.dumps(record | {"fill_ratio": round(self.fill_ratio, 4), "elapsed_s": round(self.elapsed_s, 3)})
 
 
-def at_share(sorted_values: Column, n: Column, share: float) -> Column:
-    """The value at index floor(n * share), n - 1 at most, of an ascending array."""
-    at = F.least(F.floor(n * F.lit(float(share))), n - 1).cast("int")
-    return F.get(sorted_values, at)
-
-
 def latency_stats(df: DataFrame, column: str) -> DataFrame:
     """One row: n, min, p50, p95, p99, max and mean of ``column``; zeros where there are no rows.
 
-    Percentiles are values at fixed indexes. Rows of equal value are counted first, and the
-    running count over distinct values finds the indexes, so that no array holds all rows.
+    Percentiles are values at fixed indexes. Rows of equal value are counted first; the counts
+    are range-partitioned and sorted, and partitions' sums, one number each, start the running
+    count that finds the indexes, so that no task sees all values.
     """
-    from pyspark.sql import Window
-
+    spark = df.sparkSession
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("x")).agg(F.count("*").alias("c"))
-    total = counts.agg(F.sum("c").alias("n"))
-    # Distinct values in coarse steps bound what a window sees: counts below a step are added at once.
-    step = F.floor(F.col("x") * 16)
-    steps = counts.groupBy(step.alias("step")).agg(F.sum("c").alias("c"))
-    below = steps.select("step", (F.sum("c").over(Window.orderBy("step")) - F.col("c")).alias("below"))
-    inside = F.sum("c").over(Window.partitionBy("step").orderBy("x"))
-    ranked = counts.withColumn("step", step).withColumn("inside", inside).join(below, "step").withColumn("last", F.col("below") + F.col("inside") - 1)
-    n = F.col("n")
-    picks = {name: F.least(F.floor(n * F.lit(q)), n - 1) for name, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))}
-    rows = ranked.crossJoin(F.broadcast(total))  # one row
+    ranged = counts.repartitionByRange(shuffle_partitions(spark), "x").withColumn("part", F.spark_partition_id())
+    ranged = store(ranged, "counts")
+    sums = {r.part: r.n for r in ranged.groupBy("part").agg(F.sum("c").alias("n")).collect()}
+    parts = sorted(sums)
+    before = spark.createDataFrame(list(zip(parts, accumulate([0, *(sums[p] for p in parts)]))), "part int, before long")  # one row a partition
+    total = sum(sums.values())
+    last = F.col("before") + F.sum("c").over(Window.partitionBy("part").orderBy("x")) - 1
+    ranked = ranged.join(F.broadcast(before), "part").withColumn("last", last)
     first = F.col("last") - F.col("c") + 1
-    value = lambda at: F.max(F.when((first <= at) & (at <= F.col("last")), F.col("x")))
-    out = rows.agg(
+    at = {name: min(math.floor(total * q), total - 1) for name, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))}
+    out = ranked.agg(
         F.coalesce(F.sum("c"), F.lit(0)).alias("n"),
         F.min("x").alias("min"),
-        *[value(at).alias(name) for name, at in picks.items()],
+        *[F.max(F.when((first <= i) & (F.lit(i) <= F.col("last")), F.col("x"))).alias(name) for name, i in at.items()],
         F.max("x").alias("max"),
         (F.sum(F.col("x") * F.col("c")) / F.sum("c")).alias("mean"),
     )

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import hashlib
-from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import InputOutputError
 from ..shared import hadoop_path, shuffle_partitions, store
 
+#: Rows that may pass through one task.
+TAKEN_ROWS = 100_000
 #: Unicode white space at both ends, as ``trim`` below removes it.
 _ENDS = r"(?U)^\s+|\s+$"
 
@@ -61,34 +63,58 @@ def json_string(line: Column, key: str) -> Column:
 def parse_jsonl(lines: DataFrame, value: str = "value") -> DataFrame:
     """``lines`` with id, text and ok: text is a trimmed, non-empty JSON string, or the line is malformed.
 
-    An id of another type than string is empty. Blank lines are neither rows nor malformed.
+    An id of another type than string is empty. Blank lines are neither rows nor malformed; lines
+    that are no UTF-8 are. Equal keys are allowed, for which a setting of the session is needed.
     """
     lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     text = F.nullif(trim(json_string(F.col(value), "text")), F.lit(""))
     out = lines.where(trim(F.col(value)) != "").withColumns({"id": F.coalesce(json_string(F.col(value), "id"), F.lit("")), "text": text})
-    return out.withColumn("ok", F.col("text").isNotNull())
+    return out.withColumn("ok", F.col("text").isNotNull() & F.is_valid_utf8(F.col(value)))
 
 
 def parse_plain(lines: DataFrame, value: str = "value") -> DataFrame:
-    """``lines`` with id, text and ok: trimmed lines that are not blank; ids are given by ``dense_seq``."""
-    return lines.withColumns({"id": F.lit(""), "text": trim(F.col(value)), "ok": F.lit(True)}).where("text != ''")
+    """``lines`` with id, text and ok: trimmed lines that are not blank, not ok where they are no UTF-8; ids are given by ``dense_seq``."""
+    return lines.withColumns({"id": F.lit(""), "text": trim(F.col(value)), "ok": F.is_valid_utf8(F.col(value))}).where("text != ''")
 
 
-def dense_seq(df: DataFrame, *order: str, name: str = "seq") -> DataFrame:
-    """``df`` with 0, 1, 2, ... in the order of ``order`` columns, without one task for all rows.
+def _numbered(df: DataFrame, name: str, by: tuple[str, ...]) -> DataFrame:
+    """``df`` stored with 0, 1, 2, ... in the order in which its partitions and their rows lie, from 0 for each value of ``by``.
 
-    Rows are range-partitioned and sorted; partitions' row counts, one number each, give the
-    offsets. The sorted rows are stored in between, so that both steps see the same partitions.
+    Rows of equal ``by`` must lie together. Partitions' row counts, one number for each value of
+    ``by``, give the offsets, so that no task sees all rows.
     """
     spark = df.sparkSession
-    dealt = df.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
-    local = F.monotonically_increasing_id()
-    numbered = store(dealt.withColumn("__id", local).select("*", F.shiftright("__id", 33).alias("__part"), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)).alias("__at")).drop("__id"), "sorted")
-    counts = {r["__part"]: r["count"] for r in numbered.groupBy("__part").count().collect()}
-    parts = sorted(counts)
-    offsets = dict(zip(parts, accumulate([0, *(counts[p] for p in parts)][:-1])))
-    table = F.broadcast(spark.createDataFrame(list(offsets.items()), "__part long, __offset long"))  # one row a partition
-    return numbered.join(table, "__part").withColumn(name, F.col("__offset") + F.col("__at")).drop("__part", "__offset", "__at")
+    numbered = store(df.withColumn("__id", F.monotonically_increasing_id()).select("*", F.shiftright("__id", 33).alias("__part"), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)).alias("__at")).drop("__id"), "numbered")
+    counted = numbered.groupBy("__part", *by).agg(F.count("*").alias("__n"), F.min("__at").alias("__first")).collect()
+    rows, seen = [], {}
+    for r in sorted(counted, key=lambda r: (r["__part"], r["__first"])):
+        group = tuple(r[c] for c in by)
+        rows.append((r["__part"], *group, seen.get(group, 0) - r["__first"]))
+        seen[group] = seen.get(group, 0) + r["__n"]
+    kinds = [numbered.schema["__part"], *(numbered.schema[c] for c in by)]
+    table = F.broadcast(spark.createDataFrame(rows, T.StructType([*(T.StructField(f.name, f.dataType) for f in kinds), T.StructField("__offset", T.LongType())])))
+    return numbered.join(table, ["__part", *by]).withColumn(name, F.col("__offset") + F.col("__at")).select(*df.columns, name)
+
+
+def dense_seq(df: DataFrame, *order: str, name: str = "seq", by: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with 0, 1, 2, ... in the order of ``order`` columns, without one task for all rows.
+
+    With ``by`` (few, non-null values) every value of these columns is numbered by itself. Rows
+    are range-partitioned and sorted; partitions' counts give the offsets. The sorted rows are
+    stored in between, so that both steps see the same partitions.
+    """
+    return _numbered(df.repartitionByRange(shuffle_partitions(df.sparkSession), *by, *order).sortWithinPartitions(*by, *order), name, by)
+
+
+def first_of(df: DataFrame, most: int, *order: str) -> DataFrame:
+    """The first ``most`` rows of ``df`` by ``order``; without it, in the order in which they lie.
+
+    Few rows come from a heap in every task; many are numbered, so that no task holds them all.
+    """
+    if order and most <= TAKEN_ROWS:
+        return df.orderBy(*order).limit(most)
+    numbered = dense_seq(df, *order, name="__seq") if order else _numbered(df, "__seq", ())
+    return numbered.where(F.col("__seq") < most).drop("__seq")
 
 
 def read_messages(spark: SparkSession, paths: list[str], fmt: str = "jsonl", *, min_bytes: int = 10, limit: int = 0) -> DataFrame:
@@ -99,10 +125,10 @@ def read_messages(spark: SparkSession, paths: list[str], fmt: str = "jsonl", *,
     """
     lines = read_lines(spark, paths).withColumn("line", F.monotonically_increasing_id())
     parsed = (parse_jsonl if fmt == "jsonl" else parse_plain)(lines)
-    good = parsed.where(F.col("ok") & (F.octet_length("text") >= min_bytes))
-    out = dense_seq(good.select("file", "block", "line", "id", "text"), "file", "block", "line")
-    out = out.select("seq", F.when(F.lit(fmt == "plain"), F.col("seq").cast("string")).otherwise(F.col("id")).alias("id"), "text")
-    return out.where(F.col("seq") < limit) if limit else out
+    good = parsed.where(F.col("ok") & (F.octet_length("text") >= min_bytes)).select("file", "block", "line", "id", "text")
+    order = ("file", "block", "line")
+    out = dense_seq(first_of(good, limit, *order) if limit else good, *order)
+    return out.select("seq", F.when(F.lit(fmt == "plain"), F.col("seq").cast("string")).otherwise(F.col("id")).alias("id"), "text")
 
 
 def input_stats(parsed: DataFrame, min_bytes: int = 10) -> DataFrame:
@@ -151,9 +177,10 @@ def with_title(title: Column, text: Column) -> Column:
     return F.when(F.coalesce(title, F.lit("")) != "", F.concat_ws(". ", title, text)).otherwise(text)
 
 
-def posts(df: DataFrame, column: str, *, low: int = 10, most: int = 5_000_000) -> DataFrame:
-    """(text): trimmed texts of ``low`` characters or more, ``most`` at most."""
-    return df.select(trim(F.col(column)).alias("text")).where(F.length("text") >= low).limit(most)
+def posts(df: DataFrame, column: str, *, low: int = 10, most: int | None = None) -> DataFrame:
+    """(text): trimmed texts of ``low`` characters or more; the first ``most`` of them if that is given."""
+    found = df.select(trim(F.col(column)).alias("text")).where(F.length("text") >= low)
+    return found if most is None else first_of(found, most)
 
 
 def renamed_corpus(df: DataFrame, id_col: str = "docid") -> DataFrame:
