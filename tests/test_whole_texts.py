@@ -27,8 +27,8 @@ def test_late_matches_are_reached(spark, tmp_path):
     for i, (late, _) in enumerate(CASES.values()):
         spark.createDataFrame([(6 * i, LATE + late)], "doc_id long, text string").write.mode("append").parquet(f"{tmp_path}/documents.parquet")
     for i, (name, (_, left)) in enumerate(CASES.items()):
-        row = catalogue.QUERIES[f"{name}_whole"](spark, str(tmp_path)).where(f"doc_id = {6 * i}").first()
+        row = catalogue.QUERIES[name](spark, str(tmp_path)).where(f"doc_id = {6 * i}").first()
         assert row.out.lower().startswith((LATE + left).lower()), name
         assert name in ("trim_lower", "alpha_words") or len(row.out) <= len(LATE + left + noise), name
-    rows = {r.doc_id: r.norm_text for r in catalogue.QUERIES["normalize_noise_whole"](spark, str(tmp_path)).collect()}
+    rows = {r.doc_id: r.norm_text for r in catalogue.QUERIES["normalize_noise"](spark, str(tmp_path)).collect()}
     assert all(t.startswith("passage: " + LATE) for t in rows.values()) and len(rows) == len(CASES)

@@ -1,9 +1,8 @@
 """Named queries over the driver's tables and the DuckDB SQL that must agree with them.
 
-Each query runs an operator of the engine over its whole table. Rules of the normalizer that
-the tables hardly meet are run on texts with noise added at their end: the queries named after
-the rules, and normalize_noise, on the first 120 characters of each text, as their SQL does;
-those whose names end in _whole on the whole text.
+Each query runs an operator of the engine over its whole table and whole texts. Rules of the
+normalizer that the tables hardly meet are run on texts with noise added at their end: the
+queries named after the rules, and normalize_noise.
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ from ..functions import vectors
 from ..operators import batching, dedup, metrics, tokenize, vocab
 from ..operators.encoders import hash_vectors
 from ..operators.models import REGISTRY
-from ..shared import spread, work_dir
+from ..shared import spread, store, work_dir
 from ..sources import sinks, text
 from .engine import Engine
 
@@ -51,9 +50,8 @@ NOISE = (
 )
 
 
-def _noisy(x: Column, key: Column, *, whole: bool = False) -> Column:
-    noise = F.element_at(F.array(*[F.lit(n) for n in NOISE]), (key % len(NOISE) + 1).cast("int"))
-    return F.concat(x if whole else F.substring(x, 1, 120), noise)
+def _noisy(x: Column, key: Column) -> Column:
+    return F.concat(x, F.element_at(F.array(*[F.lit(n) for n in NOISE]), (key % len(NOISE) + 1).cast("int")))
 
 
 _S, _NS = r"[\s\x{0B}\x{85}\p{Z}]", r"[^\s\x{0B}\x{85}\p{Z}]"
@@ -96,8 +94,7 @@ def _sql_cut(x: str, most: int) -> str:
     return f"left({x}, (SELECT coalesce(max(k), 0) FROM range(0, {most} + 1) t(k) WHERE strlen(left({x}, k::BIGINT)) <= {most}))"
 
 
-_SQL_NOISE = "substr(text, 1, 120) || ([" + ", ".join("'" + n + "'" for n in NOISE) + f"])[doc_id % {len(NOISE)} + 1]"
-_SQL_WHOLE_NOISE = "text || ([" + ", ".join("'" + n + "'" for n in NOISE) + f"])[doc_id % {len(NOISE)} + 1]"
+_SQL_NOISE = "text || ([" + ", ".join("'" + n + "'" for n in NOISE) + f"])[doc_id % {len(NOISE)} + 1]"
 
 
 def _chain_sql(x: str) -> str:
@@ -113,23 +110,21 @@ def _normalized_sql(source: str, key: str, x: str, *, most: int = 256, least: in
     """
 
 
-def _add_step(name: str, whole: bool) -> None:
+def _add_step(name: str) -> None:
     def query(spark: SparkSession, sf_dir: str, name=name) -> DataFrame:
         docs = _table(spark, sf_dir, "documents")
-        x = _noisy(F.col("text"), F.col("doc_id"), whole=whole)
+        x = _noisy(F.col("text"), F.col("doc_id"))
         own = {"trim_lower": norm.trim_lower, "alpha_words": lambda c: norm.alpha_words(F.regexp_replace(c, r"(?U)\s+", " "))}
         return docs.select("doc_id", (own[name] if name in own else norm.pattern_step(name))(x).alias("out"))
 
-    at = f"{name}_whole" if whole else name
-    QUERIES[at] = query
-    x = f"({_SQL_WHOLE_NOISE if whole else _SQL_NOISE})"
+    QUERIES[name] = query
+    x = f"({_SQL_NOISE})"
     x = _sql_step("collapse_ws", x) if name == "alpha_words" else x
-    ORACLE_SQL[at] = f"SELECT doc_id, {_sql_step(name, x)} AS out FROM documents"
+    ORACLE_SQL[name] = f"SELECT doc_id, {_sql_step(name, x)} AS out FROM documents"
 
 
 for _name in _SQL_PATTERNS:
-    _add_step(_name, False)
-    _add_step(_name, True)
+    _add_step(_name)
 
 
 @_query(f"SELECT doc_id, {_sql_cut('text', 100)} AS out FROM documents")
@@ -152,15 +147,10 @@ def normalize_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _normal(_table(spark, sf_dir, "documents"), ["doc_id"], F.col("text"))
 
 
-@_query(_normalized_sql("documents", "doc_id", f"({_SQL_NOISE})"))
+@_query(f"SELECT doc_id, CASE WHEN strlen(z) >= 10 THEN 'passage: ' || z END AS norm_text FROM (SELECT doc_id, {_chain_sql(f'({_SQL_NOISE})')} AS z FROM documents)")
 def normalize_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _normal(_table(spark, sf_dir, "documents"), ["doc_id"], _noisy(F.col("text"), F.col("doc_id")))
-
-
-@_query(f"SELECT doc_id, CASE WHEN strlen(z) >= 10 THEN 'passage: ' || z END AS norm_text FROM (SELECT doc_id, {_chain_sql(f'({_SQL_WHOLE_NOISE})')} AS z FROM documents)")
-def normalize_noise_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts in, and whole texts out: nothing is cut to a number of bytes."""
-    x = _noisy(F.col("text"), F.col("doc_id"), whole=True)
+    x = _noisy(F.col("text"), F.col("doc_id"))
     return _table(spark, sf_dir, "documents").select("doc_id", norm.normalize(x, max_bytes=0).alias("norm_text"))
 
 
@@ -220,6 +210,10 @@ _JSON_LINES = """
     """
 )
 def jsonl_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.parse_jsonl(_json_lines(spark, sf_dir)).select("event_id", "id", "text", "ok")
+
+
+def _json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _table(spark, sf_dir, "events")
     k = F.col("event_id") % 6
     value = (
@@ -230,18 +224,27 @@ def jsonl_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 4, F.col("props"))
         .otherwise(F.concat(F.lit("no json "), "event_id"))
     )
-    return text.parse_jsonl(e.select("event_id", value.alias("value"))).select("event_id", "id", "text", "ok")
+    return e.select("event_id", value.alias("value"))
 
 
-@_query("SELECT count(*) AS lines, 0 AS malformed, count(*) FILTER (strlen(text) < 400) AS short, count(*) FILTER (strlen(text) >= 400) AS accepted FROM documents WHERE text <> ''")
+@_query(
+    f"""
+    SELECT count(*) AS lines, count(*) FILTER (t IS NULL) AS malformed, count(*) FILTER (strlen(t) < 9) AS short, count(*) FILTER (strlen(t) >= 9) AS accepted
+    FROM (SELECT nullif(CASE WHEN json_type(j, '$.text') = 'VARCHAR' THEN trim(json_extract_string(j, '$.text'), ' ') END, '') AS t
+      FROM (SELECT CASE WHEN json_valid(value) THEN value::JSON END AS j FROM ({_JSON_LINES})))
+    """
+)
 def input_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _table(spark, sf_dir, "documents").select(F.to_json(F.struct("text")).alias("value")).where("value <> '{\"text\":\"\"}'")
-    return text.input_stats(text.parse_jsonl(lines), 400)
+    """Good lines, short ones, other JSON, no JSON, and (a part of the last) bytes that are no UTF-8."""
+    lines = _json_lines(spark, sf_dir)
+    broken = F.concat(F.encode(F.lit('{"text":"some words '), "UTF-8"), F.unhex(F.lit("FFFE")), F.encode(F.lit('"}'), "UTF-8")).cast("string")
+    lines = lines.withColumn("value", F.when(F.col("event_id") % 12 == 11, broken).otherwise(F.col("value")))
+    return text.input_stats(text.parse_jsonl(lines), 9)
 
 
 @_query("SELECT doc_id FROM documents ORDER BY doc_id LIMIT 137")
 def row_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").orderBy("doc_id").limit(137).select("doc_id")  # the feature is the limit
+    return text.first_of(_table(spark, sf_dir, "documents").select("doc_id"), 137, "doc_id")  # the feature is the limit
 
 
 @_query("SELECT page_id, CASE WHEN url <> '' THEN url || '. ' || html ELSE html END AS text FROM pages")
@@ -261,7 +264,7 @@ def passage_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"SELECT t AS text FROM (SELECT trim(line, ' ') AS t FROM ({_LINES_SQL})) WHERE length(t) >= 10")
 def post_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("line"))
-    return text.posts(lines, "line", most=2_000_000_000)
+    return text.posts(lines, "line")
 
 
 @_query("SELECT count(*) AS n FROM documents WHERE text <> ''")
@@ -292,13 +295,13 @@ def dedup_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.stats(_norm_docs(spark, sf_dir), "norm_text", nulls=False)
 
 
-_TOP_SQL = r"""
+_VOCAB_SQL = r"""
   SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '\s+')) AS word FROM documents)
-  WHERE word <> '' AND length(word) <= 45 AND regexp_matches(word, '[\p{L}\p{Nl}]') GROUP BY word ORDER BY n DESC, word LIMIT 500
+  WHERE word <> '' AND length(word) <= 45 AND regexp_matches(word, '[\p{L}\p{Nl}]') GROUP BY word ORDER BY n DESC, word LIMIT 1500000
 """
 
 
-@_query(_TOP_SQL)
+@_query(f"SELECT * FROM ({_VOCAB_SQL}) ORDER BY n DESC, word LIMIT 500")
 def word_counts_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocab.top_words(_table(spark, sf_dir, "documents"), most=500)  # a top-k report
 
@@ -306,17 +309,17 @@ def word_counts_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS_SQL = f"SELECT doc_id, unnest(string_split(norm_text, ' ')) AS word FROM ({_NORM_DOCS_SQL}) WHERE norm_text IS NOT NULL"
 
 
-@_query(f"SELECT count(*) AS words, count(v.word) AS hits, round(count(v.word) / count(*), 6) AS hit_rate FROM ({_WORDS_SQL}) w LEFT JOIN ({_TOP_SQL}) v USING (word) WHERE w.word <> ''")
+@_query(f"SELECT count(*) AS words, count(v.word) AS hits, round(count(v.word) / count(*), 6) AS hit_rate FROM ({_WORDS_SQL}) w LEFT JOIN ({_VOCAB_SQL}) v USING (word) WHERE w.word <> ''")
 def vocab_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = vocab.top_words(_table(spark, sf_dir, "documents"), most=500)
+    words = vocab.top_words(_table(spark, sf_dir, "documents"))
     return tokenize.hit_rate(_norm_docs(spark, sf_dir), words, "norm_text").withColumn("hit_rate", F.round("hit_rate", 6))
 
 
 _TOKENS_SQL = f"""
-  SELECT doc_id, [0] || list_slice(flatten(list(p ORDER BY pos)), 1, 30) || [2] AS ids FROM (
+  SELECT doc_id, [0] || list_slice(flatten(list(p ORDER BY pos)), 1, 254) || [2] AS ids FROM (
     SELECT doc_id, pos, CASE WHEN v.word IS NULL THEN [3::BIGINT] ELSE [('0x' || substr(md5(w.word), 1, 4))::BIGINT, ('0x' || substr(md5(w.word), 5, 4))::BIGINT] END AS p FROM (
       SELECT doc_id, unnest(string_split(norm_text, ' ')) AS word, generate_subscripts(string_split(norm_text, ' '), 1) AS pos
-      FROM ({_NORM_DOCS_SQL}) WHERE norm_text IS NOT NULL) w LEFT JOIN ({_TOP_SQL}) v ON w.word = v.word WHERE w.word <> '')
+      FROM ({_NORM_DOCS_SQL}) WHERE norm_text IS NOT NULL) w LEFT JOIN ({_VOCAB_SQL}) v ON w.word = v.word WHERE w.word <> '')
   GROUP BY doc_id
 """
 
@@ -326,8 +329,8 @@ def _half(word: Column, start: int) -> Column:
 
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = vocab.top_words(_table(spark, sf_dir, "documents"), most=500).select("word", F.array(_half(F.col("word"), 1), _half(F.col("word"), 5)).alias("ids"))
-    return tokenize.token_ids(_norm_docs(spark, sf_dir), known, key="doc_id", column="norm_text", max_len=32)
+    known = vocab.top_words(_table(spark, sf_dir, "documents")).select("word", F.array(_half(F.col("word"), 1), _half(F.col("word"), 5)).alias("ids"))
+    return tokenize.token_ids(_norm_docs(spark, sf_dir), store(known, "vocabulary"), key="doc_id", column="norm_text")
 
 
 @_query(f"SELECT doc_id, array_to_string(ids, ' ') AS ids FROM ({_TOKENS_SQL})")
@@ -397,10 +400,10 @@ def padding_waste(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(
     f"""SELECT doc_id, array_to_string(list_slice(ids, 1, len) || list_transform(range(greatest(len - length(ids), 0)), lambda k: 0), ' ') AS padded,
       array_to_string(list_transform(range(len), lambda k: CASE WHEN k < length(ids) THEN 1 ELSE 0 END), ' ') AS mask
-    FROM (SELECT doc_id, ids, {_sql_of(_sql_bucket("length(ids)", (8, 16, 24)), (8, 16, 24))} AS len FROM ({_TOKENS_SQL}))"""
+    FROM (SELECT doc_id, ids, {_sql_of(_sql_bucket("length(ids)", BUCKETS), BUCKETS)} AS len FROM ({_TOKENS_SQL}))"""
 )
 def pad_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = batching.padded(_tokens(spark, sf_dir), "ids", (8, 16, 24))
+    rows = batching.padded(_tokens(spark, sf_dir), "ids", BUCKETS)
     return rows.select("doc_id", *[F.array_join(F.col(c).cast("array<string>"), " ").alias(c) for c in ("padded", "mask")])
 
 
@@ -410,7 +413,10 @@ def batch_autoscale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "dim long, batch_size long, scaled long")
 
 
-@_query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v}::BIGINT)" for k, v in REGISTRY.items()) + ") t(name, dim)")
+@_query(
+    """SELECT 'intfloat/' || family || '-' || size || version AS name, dim FROM
+      (VALUES ('multilingual-e5', ''), ('e5', '-v2')) f(family, version), (VALUES ('small', 384::BIGINT), ('base', 768), ('large', 1024)) s(size, dim)"""
+)
 def model_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(REGISTRY.items()), "name string, dim long")
 
@@ -425,13 +431,17 @@ def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    """SELECT label, i, round(avg(x), 4) + 0.0 AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings WHERE vec_id % 3 <> 0) GROUP BY label, i"""
+    """SELECT text_no, i, round(sum(x * m) / greatest(sum(m), 1), 4) + 0.0 AS x FROM (
+      SELECT vec_id // 16 AS text_no, CASE WHEN vec_id % 3 <> 0 THEN 1 ELSE 0 END AS m, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY text_no, i"""
 )
 def mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Means of masked vectors by label: sums of components are combined before the shuffle."""
-    rows = _table(spark, sf_dir, "embeddings").withColumn("mask", (F.col("vec_id") % 3 != 0).cast("int")).where("mask = 1")
-    each = rows.select("label", F.posexplode("embedding").alias("i", "x"))
-    return each.groupBy("label", F.col("i").cast("long").alias("i")).agg((F.round(F.avg(F.col("x").cast("double")), 4) + 0.0).alias("x"))
+    """Means of unmasked vectors over texts of sixteen tokens, every third of them masked."""
+    rows = _table(spark, sf_dir, "embeddings")
+    dim = rows.select(F.max(F.size("embedding")).alias("n")).first().n
+    token = F.struct("vec_id", F.col("embedding").alias("v"), (F.col("vec_id") % 3 != 0).cast("double").alias("m"))
+    texts = rows.groupBy(F.floor(F.col("vec_id") / 16).alias("text_no")).agg(F.array_sort(F.collect_list(token)).alias("tokens"))
+    pooled = texts.select("text_no", F.posexplode(vectors.mean_pool(F.col("tokens.v"), F.col("tokens.m"), dim)).alias("i", "x"))
+    return pooled.select("text_no", F.col("i").cast("long").alias("i"), (F.round("x", 4) + 0.0).alias("x"))
 
 
 DIM = 8
@@ -478,19 +488,38 @@ def ordered_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.dense_seq(rows, "seq", name="row_no").select("row_no", "id")
 
 
-@_query(f"SELECT 'doc-' || doc_id AS id, {DIM}::BIGINT AS dim FROM ({_NORM_DOCS_SQL}) WHERE norm_text IS NOT NULL")
+@_query(f"SELECT 'doc-' || doc_id AS id, {DIM}::BIGINT AS dim, true AS same FROM ({_NORM_DOCS_SQL}) WHERE norm_text IS NOT NULL")
 def parquet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors written and read back, each held against the result that was written."""
     folder = work_dir(spark, "vectors.parquet")
-    sinks.write_vectors(Engine().embed(_messages(spark, sf_dir)).df, folder, DIM)
-    return spark.read.parquet(folder).select("id", F.size("embedding").cast("long").alias("dim"))
+    made = Engine().embed(_messages(spark, sf_dir)).df
+    sinks.write_vectors(made, folder, DIM)
+    back = spark.read.parquet(folder).join(made.select("id", F.col("embedding").alias("made")), "id", "left")
+    return back.select("id", F.size("embedding").cast("long").alias("dim"), F.col("embedding").eqNullSafe(F.col("made")).alias("same"))
 
 
 @_query(f"SELECT count(*)::BIGINT AS rows, {DIM}::BIGINT AS dim, 128 + 4 * {DIM} * count(*)::BIGINT AS bytes FROM ({_NORM_DOCS_SQL}) WHERE norm_text IS NOT NULL")
 def npy_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors written as one file; its header and values are held against the result, row by row in order of seq."""
+    import numpy as np
+    import pandas as pd
+
     path = work_dir(spark, "vectors.npy")
-    rows = sinks.write_npy(Engine().embed(_messages(spark, sf_dir)).df, path, DIM)
-    found = spark.read.format("binaryFile").load(path).select("length").first()
-    return spark.createDataFrame([(rows, DIM, found.length)], "rows long, dim long, bytes long")
+    made = Engine().embed(_messages(spark, sf_dir)).df
+    rows = sinks.write_npy(made, path, DIM)
+    ok = text.dense_seq(made.where("status = 'ok'").select("seq", F.col("embedding").alias("made")), "seq", name="at")
+
+    def read(frames):
+        for f in frames:
+            for content in f["content"]:
+                values = np.frombuffer(content, "<f4", offset=128).reshape(-1, DIM)
+                yield pd.DataFrame({"at": np.arange(len(values)), "found": list(values)})
+
+    found = spark.read.format("binaryFile").load(path)
+    same = found.select("content").mapInPandas(read, "at long, found array<float>").join(ok, "at", "full").agg(F.count_if(~F.col("found").eqNullSafe(F.col("made"))).alias("n")).first().n
+    if same:
+        raise AssertionError(f"{same} vectors differ")
+    return spark.createDataFrame([(rows, DIM, found.select("length").first().length)], "rows long, dim long, bytes long")
 
 
 @_query(
