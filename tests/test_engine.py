@@ -122,3 +122,60 @@ def test_models(tmp_path):
 def test_engine_without_a_model_file(tmp_path):
     with pytest.raises(ModelError):
         Engine(EmbedConfig(model="e5-small-v2", model_dir=str(tmp_path)))
+
+
+def field(number: int, value) -> bytes:
+    """One field of a protocol buffer: a number, or bytes with their length."""
+
+    def varint(n: int) -> bytes:
+        out = b""
+        while n > 0x7F:
+            out, n = out + bytes([n & 0x7F | 0x80]), n >> 7
+        return out + bytes([n])
+
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    value = value.encode() if isinstance(value, str) else value
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def tiny_model(table: np.ndarray) -> bytes:
+    """An ONNX model whose last hidden state is each token's row of ``table``."""
+    kind = lambda name, elem, *dims: field(1, name) + field(2, field(1, field(1, elem) + field(2, b"".join(field(1, field(2, d) if isinstance(d, str) else field(1, d)) for d in dims))))
+    gather = field(1, "table") + field(1, "input_ids") + field(2, "last_hidden_state") + field(4, "Gather")
+    values = b"".join(field(1, d) for d in table.shape) + field(2, 1) + field(8, "table") + field(9, table.astype("<f4").tobytes())
+    graph = field(1, gather) + field(2, "g") + field(5, values) + field(11, kind("input_ids", 7, "n", "t")) + field(12, kind("last_hidden_state", 1, "n", "t", table.shape[1]))
+    return field(1, 8) + field(8, field(2, 13)) + field(7, graph)
+
+
+def test_a_model_from_folder_to_vectors(spark, tmp_path):
+    """model.onnx, tokenizer.json and the vocabulary cache, run through the engine, against the same sums in numpy."""
+    from tokenizers import Tokenizer, models as kinds, pre_tokenizers
+
+    from textloom.operators import vocab
+
+    known = {"<s>": 0, "<pad>": 1, "</s>": 2, "<unk>": 3, "▁some": 4, "▁words": 5, "▁here": 6, **{f"▁number{i}": 7 + i for i in range(30)}}
+    tokenizer = Tokenizer(kinds.WordLevel(known, unk_token="<unk>"))
+    tokenizer.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    folder = tmp_path / "model"
+    folder.mkdir()
+    tokenizer.save(str(folder / "tokenizer.json"))
+    table = np.random.default_rng(0).normal(size=(40, 6)).astype(np.float32)
+    (folder / "model.onnx").write_bytes(tiny_model(table))
+    (folder / "config.json").write_text('{"hidden_size": 6}')
+    vocab.save(str(folder / "vocab_cache.bin"), {"▁some": [4], "▁words": [5]})
+    engine = Engine(EmbedConfig(model=str(folder), prefix="", **SMALL))
+    assert engine.hidden_dim == 6
+    df = messages(spark)
+    result = engine.embed(df.repartition(3))
+    text = {r.seq: r.text for r in df.collect()}
+    rows = result.df.collect()
+    assert sum(r.status == "ok" for r in rows) == 360 and not any(r.status == "failed" for r in rows)
+    for r in rows:
+        if r.status == "ok":
+            ids = [0, *(known.get(f"▁{w}", 3) for w in text[r.seq].encode()[:256].decode().split())][:63] + [2]
+            want = table[ids].mean(0)
+            assert np.allclose(r.embedding, want / np.linalg.norm(want), atol=1e-5), r.seq
+    stats = result.stats()
+    assert stats.cache_hits > 0 and stats.cache_misses > 0 and stats.runtime_cache_hits > 0
+    assert result.missing(df).count() == 0 and result.missing(df.unionByName(df.limit(1).withColumn("seq", df.seq + 1000))).count() == 1

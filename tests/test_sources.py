@@ -132,6 +132,8 @@ def test_cli(spark, tmp_path, capsys):
     assert np.load(tmp_path / "o.npy").shape == (6, 8)
     assert "embedded 6, skipped 1" in capsys.readouterr().out
     assert cli.main(["embed", "--input", f"{path}/none", "--quiet"]) == 2
+    arrivals = ["stream", "--input", f"file://{tmp_path}/in/*", "--output", f"file://{tmp_path}/s", "--state", f"file://{tmp_path}/st"]
+    assert cli.main(arrivals) == 0 and spark.read.parquet(f"file://{tmp_path}/s").count() > 0
 
 
 def test_stream(spark, tmp_path):
@@ -150,3 +152,27 @@ def test_stream(spark, tmp_path):
     assert first == 7 and len(rows) == 8 and {r.id for r in rows if r.status == "ok"} >= {"a", "z", "s", "g", "n"}
     spark.streams.removeListener(monitor)
     assert monitor.total > 0 and any("rows" in x for x in said)
+
+
+def test_unreadable_files_and_bytes(spark, tmp_path):
+    import gzip
+
+    whole = gzip.compress(b"".join(b'{"text":"line number %d of it"}\n' % i for i in range(5000)))
+    (tmp_path / "cut.jsonl.gz").write_bytes(whole[: len(whole) // 2])
+    (tmp_path / "good.jsonl").write_bytes(b'{"text":"a good line"}\n{"text":"bad \xff\xfe bytes here"}\nnot json at all\n')
+    path = f"file://{tmp_path}"
+    with pytest.raises(Exception, match="(?i)eof|end of|corrupt|FAILED_READ_FILE"):
+        text.read_messages(spark, [path]).count()
+    got = text.read_messages(spark, [path], corrupt="skip")
+    assert got.where("text = 'a good line'").count() == 1
+    stats = text.input_stats(text.parse_jsonl(text.read_lines(spark, [f"{path}/good.jsonl"]))).first()
+    assert (stats.lines, stats.malformed, stats.accepted) == (3, 2, 1)
+
+
+@pytest.mark.parametrize("taken", [text.TAKEN_ROWS, 0])
+def test_first_rows_by_order(spark, monkeypatch, taken):
+    monkeypatch.setattr(text, "TAKEN_ROWS", taken)
+    df = spark.createDataFrame([(i * 7919 % 1000, f"some text number {i}") for i in range(1000)], "k long, text string").repartition(5)
+    assert sorted(r.k for r in text.first_of(df, 17, "k").collect()) == list(range(17))
+    assert text.posts(df, "text", most=23).count() == 23 and text.posts(df, "text").count() == 1000
+    assert "SinglePartition" not in text.posts(df, "text", most=23)._jdf.queryExecution().toString()

@@ -142,6 +142,10 @@ class EmbedResult:
     _encoded: DataFrame
     _started: float = field(default_factory=time.time)
 
+    def missing(self, messages: DataFrame) -> DataFrame:
+        """(seq) of ``messages`` that have no row in the result: none, unless rows were lost."""
+        return messages.select("seq").join(self.df.select("seq"), "seq", "left_anti")
+
     def stats(self) -> EmbedStats:
         """Aggregates of this run, each over stored rows."""
         rows = self._full.agg(F.count_if(F.col("status") != "skipped").alias("p"), F.count_if(F.col("status") == "skipped").alias("s"), F.count_if(F.col("status") == "failed").alias("f")).first()

@@ -41,15 +41,16 @@ def trim(text: Column) -> Column:
     return F.regexp_replace(text, _ENDS, "")
 
 
-def read_lines(spark: SparkSession, paths: list[str], *, missing: str = "error") -> DataFrame:
+def read_lines(spark: SparkSession, paths: list[str], *, missing: str = "error", corrupt: str = "error") -> DataFrame:
     """(file, block, value): lines of plain, gzip and zstd files, cut at newlines only.
 
-    Compressed files can't be split; deal their rows out again before heavy work.
+    Compressed files can't be split; deal their rows out again before heavy work. ``corrupt`` is
+    ``error`` or ``skip``: files that can't be read give the lines before the fault.
     """
     files = resolve_inputs(spark, paths, missing=missing)
     if not files:
         return spark.createDataFrame([], "file string, block long, value string")
-    lines = spark.read.option("lineSep", "\n").text(files)
+    lines = spark.read.option("lineSep", "\n").option("ignoreCorruptFiles", str(corrupt == "skip").lower()).text(files)
     return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
 
 
@@ -117,13 +118,13 @@ def first_of(df: DataFrame, most: int, *order: str) -> DataFrame:
     return numbered.where(F.col("__seq") < most).drop("__seq")
 
 
-def read_messages(spark: SparkSession, paths: list[str], fmt: str = "jsonl", *, min_bytes: int = 10, limit: int = 0) -> DataFrame:
+def read_messages(spark: SparkSession, paths: list[str], fmt: str = "jsonl", *, min_bytes: int = 10, limit: int = 0, corrupt: str = "error") -> DataFrame:
     """(seq, id, text) of accepted lines, in the order of files and lines; counts go to ``input_stats``.
 
     Texts of fewer than ``min_bytes`` bytes are left out before they get a number. The id of a
     plain line is its number. ``limit`` above 0 keeps the first rows only.
     """
-    lines = read_lines(spark, paths).withColumn("line", F.monotonically_increasing_id())
+    lines = read_lines(spark, paths, corrupt=corrupt).withColumn("line", F.monotonically_increasing_id())
     parsed = (parse_jsonl if fmt == "jsonl" else parse_plain)(lines)
     good = parsed.where(F.col("ok") & (F.octet_length("text") >= min_bytes)).select("file", "block", "line", "id", "text")
     order = ("file", "block", "line")
