@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -128,23 +129,23 @@ class Windows:
         self.items = [listed[i] for i in order.tolist()]
         self.matrix = matrix[order]
         self.length = (self.matrix >= 0).sum(1)
+        self.terms = pa.array(list(self.term), pa.binary())
         self.first = np.searchsorted(key[order], np.arange(len(self.term) + 1))  # a key's windows
 
 
 class Segment:
     """One row of the index, ready for look-ups by the term numbers of ``windows``."""
 
-    def __init__(self, ids: list, n_words: list, terms: list[bytes], n_postings: list, postings: bytes, windows: Windows):
-        self.ids, self.n_words, self.windows = ids, np.array(n_words, np.int64), windows
+    def __init__(self, ids: list, n_words: np.ndarray, terms: pa.Array, n_postings: np.ndarray, postings: pa.Buffer, windows: Windows):
+        self.ids, self.n_words, self.windows = ids, n_words, windows
         self.start = np.concatenate(([0], np.cumsum(self.n_words + 1)))
-        position = np.frombuffer(postings, "<i4")
-        ends = np.cumsum(np.array(n_postings, np.int64))
-        self.at = {}
+        position = np.frombuffer(postings, "<i4") if postings.size else np.zeros(0, "<i4")
+        ends = np.cumsum(n_postings, dtype=np.int64)
+        number = pc.index_in(terms, value_set=windows.terms).fill_null(-1).to_numpy(zero_copy_only=False)
+        known = np.flatnonzero((number >= 0) & (n_postings > 0))
+        self.at = {k: position[e - n : e] for k, n, e in zip(number[known].tolist(), n_postings[known].tolist(), ends[known].tolist())}
         self.df = np.zeros(len(windows.term) + 1, np.int64)  # the last one for -1
-        for term, n, end in zip(terms, n_postings, ends.tolist()):
-            if (number := windows.term.get(term)) is not None:
-                self.at[number] = position[end - n : end]
-                self.df[number] = n
+        self.df[number[known]] = n_postings[known]
         self.df[-1] = len(position) + 1
 
     def _candidates(self) -> np.ndarray:
@@ -204,8 +205,10 @@ def _query(index: DataFrame, windows: Windows, answer, schema: T.StructType) ->
         for b in batches:
             kind = b.schema.field("doc_id").type.value_type
             for i in range(b.num_rows):
-                name, *row = [b.column(n)[i].as_py() for n in ("segment", "doc_id", "n_words", "term", "n_postings", "postings")]
-                columns = answer(Segment(*row, shared.value), name, kind)
+                cell = {n: b.column(n)[i] for n in b.schema.names}
+                n_words, n_postings = (cell[n].values.to_numpy(zero_copy_only=False) for n in ("n_words", "n_postings"))
+                segment = Segment(cell["doc_id"].as_py(), n_words, cell["term"].values, n_postings, cell["postings"].as_buffer(), shared.value)
+                columns = answer(segment, cell["segment"].as_py(), kind)
                 yield pa.RecordBatch.from_pydict(columns)
 
     return index.mapInArrow(run, schema)
