@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import connected_components, drop, quoted, row_digest, store, within, without
 
 _SHIFTS = np.arange(64, dtype=np.uint64)
-#: Bound on the classes of equal fingerprints that are told by broadcast: those of more than this part of all rows.
+#: Bound on the classes of equal fingerprints, and on the components, that are told by broadcast: those of more than this part of all rows.
 HOT_CLASSES = 10_000
 
 
@@ -112,17 +112,22 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = store(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "classes")
     linked = store(_linked(classes, radius), "linked")
     # Only linked fingerprints take part in the joins; the smallest id of a component is an aggregate.
-    named = classes.join(linked, "fp")
-    least = named.groupBy("component").agg(F.min("first_id").alias("least_id"))
-    named = named.join(least, "component").select("fp", "least_id")
+    members = classes.join(linked, "fp").select("fp", "component", "first_id")
+    least = store(members.groupBy("component").agg(F.min("first_id").alias("least_id"), F.count("*").alias("n")), "least")
+    named = _told(members, least, "component", "least_id").select("fp", "least_id")
     table = classes.join(named, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"), "n")
-    # The largest classes are told by broadcast, so that their rows never meet in one task; the others are joined.
-    rows = classes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    large = F.col("n") > rows // HOT_CLASSES
-    hot = store(table.where(large).select("fp", "component_id"), "hot")
-    told = fps.join(F.broadcast(hot), "fp")
-    rest = fps.join(F.broadcast(hot), "fp", "left_anti").join(table.where(~large).select("fp", "component_id"), "fp")
-    return told.unionByName(rest).select("doc_id", fp_hex(F.col("fp")).alias("fingerprint"), "component_id")
+    return _told(fps, store(table, "classes"), "fp", "component_id").select("doc_id", fp_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def _told(rows: DataFrame, table: DataFrame, key: str, value: str) -> DataFrame:
+    """``rows`` with ``value`` of ``table`` (key, value, n; stored), where ``n`` is how many rows a key has.
+
+    The largest keys are told by broadcast, so that their rows never meet in one task; the others are joined.
+    """
+    total = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    large = F.col("n") > total // HOT_CLASSES
+    hot = F.broadcast(table.where(large).select(key, value))
+    return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(table.where(~large).select(key, value), key))
 
 
 def _linked(classes: DataFrame, radius: int) -> DataFrame:
