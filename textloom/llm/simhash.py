@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, drop, quoted, row_digest, store, within, without
+from .similar import similar_links
 
 _SHIFTS = np.arange(64, dtype=np.uint64)
 #: Bound on the classes of equal fingerprints, and on the components, that are told by broadcast: those of more than this part of all rows.
@@ -135,12 +136,14 @@ def _linked(classes: DataFrame, radius: int) -> DataFrame:
     return connected_components(ball_links(classes.select("fp"), radius=radius)).select(F.col("node").alias("fp"), "component")
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2, seed: int = 42, similarity: float | None = None) -> DataFrame:
     """``docs`` with one row for each group of near-duplicates, same columns: the one of the smallest id.
 
     Rows without an id come after those with one. Where several rows of a group have the smallest
     id, that of the smallest digest of all its columns stays; of rows equal in all columns, one.
-    Rows are told apart by that digest, not by their ids.
+    Rows are told apart by that digest, not by their ids. With a ``similarity``, the rows that the
+    balls leave are also linked where their five-word shingles overlap by that share (``similar``),
+    and again one of a group stays.
     """
     key = dict(zip(("key0", "key1"), row_digest(docs), strict=True))
     made = fingerprints(docs, id_col=id_col, text_col=text_col, words=words, seed=seed, carry=key)
@@ -163,4 +166,16 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
         out = without(out, row_digest(docs), twice).unionByName(one)
     for table in (rows, first, linked):
         drop(table)
-    return out
+    return out if similarity is None else _drop_similar(out, id_col, text_col, similarity, seed)
+
+
+def _drop_similar(docs: DataFrame, id_col: str, text_col: str, similarity: float, seed: int) -> DataFrame:
+    """``docs`` (no two rows equal) with one row, that of the smallest place, of each group of similar texts."""
+    links = similar_links(docs, row_digest(docs), text_col=text_col, similarity=similarity, seed=seed)
+    members = store(connected_components(links).select("node.key0", "node.key1", "component"), "similar")
+    ids = within(docs, row_digest(docs), store(members.select("key0", "key1"), "members"))
+    ids = ids.select(*[k.alias(f"key{i}") for i, k in enumerate(row_digest(docs))], F.col(quoted(id_col)).alias("doc_id"))
+    placed = members.join(ids, ["key0", "key1"]).select("component", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key0", "key1").alias("place"))
+    first = placed.groupBy("component").agg(F.min("place").alias("place")).select("place.key0", "place.key1")
+    gone = store(members.select("key0", "key1").join(first, ["key0", "key1"], "left_anti"), "dropped")
+    return without(docs, row_digest(docs), gone)
