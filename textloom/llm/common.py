@@ -25,6 +25,7 @@ __all__ = [
     "shared_dir",
     "shuffle_partitions",
     "store",
+    "told",
     "unused",
     "within",
     "without",
@@ -101,6 +102,18 @@ def _by_key(docs: DataFrame, key: list[Column], keys: DataFrame, how: str) -> Da
     return docs.join(named, reduce(and_, same), how)
 
 
+def told(rows: DataFrame, table: DataFrame, key: str, value: str, hot_parts: int = 10_000) -> DataFrame:
+    """``rows`` with ``value`` of ``table`` (key, value, n; stored), where ``n`` is how many rows a key has.
+
+    Keys of more than this part of all rows, fewer than ``hot_parts``, are told by broadcast, so
+    that their rows never meet in one task; the others are joined.
+    """
+    total = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    large = F.col("n") > total // hot_parts
+    hot = F.broadcast(table.where(large).select(key, value))
+    return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(table.where(~large).select(key, value), key))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest reachable node of every node that ``edges`` (a, b; any ordered type) touches.
 

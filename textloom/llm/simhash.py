@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, drop, quoted, row_digest, store, within, without
+from .common import connected_components, drop, quoted, row_digest, store, told, within, without
 from .similar import similar_links
 
 _SHIFTS = np.arange(64, dtype=np.uint64)
@@ -115,20 +115,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # Only linked fingerprints take part in the joins; the smallest id of a component is an aggregate.
     members = classes.join(linked, "fp").select("fp", "component", "first_id")
     least = store(members.groupBy("component").agg(F.min("first_id").alias("least_id"), F.count("*").alias("n")), "least")
-    named = _told(members, least, "component", "least_id").select("fp", "least_id")
+    named = told(members, least, "component", "least_id", HOT_CLASSES).select("fp", "least_id")
     table = classes.join(named, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"), "n")
-    return _told(fps, store(table, "classes"), "fp", "component_id").select("doc_id", fp_hex(F.col("fp")).alias("fingerprint"), "component_id")
-
-
-def _told(rows: DataFrame, table: DataFrame, key: str, value: str) -> DataFrame:
-    """``rows`` with ``value`` of ``table`` (key, value, n; stored), where ``n`` is how many rows a key has.
-
-    The largest keys are told by broadcast, so that their rows never meet in one task; the others are joined.
-    """
-    total = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    large = F.col("n") > total // HOT_CLASSES
-    hot = F.broadcast(table.where(large).select(key, value))
-    return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(table.where(~large).select(key, value), key))
+    return told(fps, store(table, "classes"), "fp", "component_id", HOT_CLASSES).select("doc_id", fp_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def _linked(classes: DataFrame, radius: int) -> DataFrame:
@@ -173,9 +162,12 @@ def _drop_similar(docs: DataFrame, id_col: str, text_col: str, similarity: float
     """``docs`` (no two rows equal) with one row, that of the smallest place, of each group of similar texts."""
     links = similar_links(docs, row_digest(docs), text_col=text_col, similarity=similarity, seed=seed)
     members = store(connected_components(links).select("node.key0", "node.key1", "component"), "similar")
-    ids = within(docs, row_digest(docs), store(members.select("key0", "key1"), "members"))
+    keys = store(members.select("key0", "key1"), "members")
+    ids = within(docs, row_digest(docs), keys)
     ids = ids.select(*[k.alias(f"key{i}") for i, k in enumerate(row_digest(docs))], F.col(quoted(id_col)).alias("doc_id"))
     placed = members.join(ids, ["key0", "key1"]).select("component", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key0", "key1").alias("place"))
     first = placed.groupBy("component").agg(F.min("place").alias("place")).select("place.key0", "place.key1")
-    gone = store(members.select("key0", "key1").join(first, ["key0", "key1"], "left_anti"), "dropped")
+    gone = store(keys.join(first, ["key0", "key1"], "left_anti"), "dropped")
+    for table in (members, keys):
+        drop(table)
     return without(docs, row_digest(docs), gone)
