@@ -2,6 +2,7 @@
 
 import itertools
 
+import numpy as np
 from textloom.llm import simhash, similar
 from textloom.llm.common import row_digest
 from test_quality import prose
@@ -88,3 +89,61 @@ def test_without_rows_or_links(spark):
     assert simhash.drop_near_duplicates(table(spark, []), similarity=0.8).count() == 0
     lone = table(spark, [(1, prose(1)), (None, prose(2)), (1, prose(3))])
     assert simhash.drop_near_duplicates(lone, similarity=0.8).count() == 3
+
+
+def pair_that_no_band_tells(n):
+    """``n`` pairs of texts at exactly 0.8 (4 of 5 shingles) whose min-hashes agree in no band."""
+    draws, out = similar._draws(42), []
+    for k in itertools.count():
+        short = " ".join(f"m{k}x{i}" for i in range(8))
+        one, two = (similar._band_keys(similar._shingles(t.encode(), 5, 42), draws) for t in (short, f"{short} end"))
+        if not np.any(one == two):
+            out += [short, f"{short} end"]
+        if len(out) == 2 * n:
+            return out
+
+
+def test_links_that_no_band_tells(spark):
+    texts = pair_that_no_band_tells(4)
+    found = linked_groups(spark, list(enumerate(texts + [prose(k) for k in range(5)])))
+    assert {frozenset(p) for p in found} == {frozenset(texts[i : i + 2]) for i in range(0, 8, 2)}
+    out = simhash.drop_near_duplicates(table(spark, list(enumerate(texts))), similarity=0.8).collect()
+    assert sorted(r.doc_id for r in out) == [0, 2, 4, 6]
+
+
+def held_to_all_pairs(spark, texts):
+    df = table(spark, list(enumerate(texts)))
+    named = df.select("doc_id", *[k.alias(f"key{i}") for i, k in enumerate(row_digest(df))]).collect()
+    at = {(r.key0, r.key1): r.doc_id for r in named}
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for r in similar.similar_links(df, row_digest(df)).collect():
+        i, j = at[tuple(r.a)], at[tuple(r.b)]
+        assert len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8
+        a, b = find(i), find(j)
+        root[max(a, b)] = min(a, b)
+    assert [find(i) for i in range(len(texts))] == groups(texts)
+
+
+def crowd():
+    """Texts near one text and each other by just more or less than 0.8, and windows over a long text, each linked to the next few only."""
+    rng = np.random.default_rng(5)
+    texts = [changed(BASE, *rng.choice(60, rng.integers(1, 4), replace=False).tolist()) + f" t{i}" * int(rng.integers(0, 2)) for i in range(120)]
+    line = prose(31, 600).split()
+    return texts + [" ".join(line[i : i + 60]) for i in range(0, 250, 5)] + [prose(k) for k in range(40, 60)]
+
+
+def test_links_connect_what_all_pairs_connect(spark):
+    held_to_all_pairs(spark, crowd())
+
+
+def test_groups_in_blocks_and_any_order(spark, monkeypatch):
+    monkeypatch.setattr(similar, "MEET", 16)
+    monkeypatch.setattr(similar, "COUNTED", 0)
+    monkeypatch.setattr(similar, "BROADCAST_KEYS", 0)
+    held_to_all_pairs(spark, crowd())
