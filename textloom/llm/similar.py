@@ -253,7 +253,7 @@ def _meet(batches, similarity: float):
         _, lo, hi, block, component, key0, key1, size, bits = held
         at = 0
         while at < full:
-            to = max(at + 1, int(np.searchsorted(upto, upto[at] + (1 << 17), "right")) - 1)
+            to = max(at + 1, int(np.searchsorted(upto, upto[at] + (1 << 13), "right")) - 1)
             a = np.repeat(np.arange(at, to), mates[at:to])
             b = a + 1 + np.arange(len(a)) - np.repeat(upto[at:to] - upto[at], mates[at:to])
             at = to
