@@ -147,3 +147,35 @@ def test_groups_in_blocks_and_any_order(spark, monkeypatch):
     monkeypatch.setattr(similar, "COUNTED", 0)
     monkeypatch.setattr(similar, "BROADCAST_KEYS", 0)
     held_to_all_pairs(spark, crowd())
+
+
+def test_parities_never_tell_more_than_sets_differ(spark):
+    rng = np.random.default_rng(3)
+    sets, rows = [], []
+    for n in (1, 2, 60, 64, 65, 100, 130, 900, 1100, 5000, 6200):
+        one = rng.integers(0, 1 << 64, n, np.uint64)
+        sets += [one, np.concatenate((one[n // 10 :], rng.integers(0, 1 << 64, n // 10 + 1, np.uint64))), rng.integers(0, 1 << 64, n, np.uint64)]
+    for a, b in itertools.combinations(sets, 2):
+        rows.append((similar._classes(a).tolist(), similar._classes(b).tolist(), len(set(a.tolist()) ^ set(b.tolist())), len(a) + len(b)))
+    df = spark.createDataFrame(rows, "one array<long>, two array<long>, differ long, total long")
+    got = df.select(similar._apart("one", "two").alias("apart"), "differ", "total", (similar.F.size("one") / similar.F.size("two")).alias("ratio")).collect()
+    assert all(r.apart <= r.differ and (r.differ - r.apart) % 2 == 0 for r in got if 0.5 <= r.ratio <= 2)
+    assert all(r.apart * 1.8 > 0.2 * r.total for r in got if 0.5 <= r.ratio <= 2 and r.differ == r.total)
+
+
+def test_large_texts_that_share_a_passage_need_no_sets(spark, monkeypatch):
+    made = {}
+
+    def counted(df, name, store=similar.store):
+        out = store(df, name)
+        made.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(similar, "COUNTED", 0)
+    monkeypatch.setattr(similar, "store", counted)
+    passage = " ".join(f"p{i}" for i in range(80))
+    texts = [f"{passage} " + " ".join(f"t{k}w{i}" for i in range(4000 + 50 * k)) for k in range(8)]
+    texts += [f"{passage} {EDGE}", texts[0] + " one more end"]
+    assert {frozenset(p) for p in linked_groups(spark, list(enumerate(texts)))} == {frozenset((texts[0], texts[-1]))}
+    assert sum(made["pairs"]) > 8  # they do meet in the index
+    assert made["shingles"][-1] == 0  # and none is compared on whole sets there

@@ -87,6 +87,13 @@ def _parity(shingles: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def _classes(shingles: np.ndarray) -> np.ndarray:
+    """The same parities for a power of two of classes, no fewer than shingles, as longs: a few bits a shingle, so that large sets tell too."""
+    n = 1 << max(6, (len(shingles) - 1).bit_length())
+    odd = np.bincount((shingles & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _by_text(docs: DataFrame, key: list[Column], text_col: str, columns: dict[str, pa.DataType], make) -> DataFrame:
     """(key0, key1, ``columns``) of every row whose text has a word; ``make`` maps a text's bytes to the columns' values, or to None."""
     own = docs.select(*[k.alias(f"key{i}") for i, k in enumerate(key)], F.col(text_col).cast("string").alias("text"))
@@ -148,18 +155,19 @@ def similar_links(docs: DataFrame, key: list[Column], *, text_col: str = "text",
         found = _shingles(text, words, seed)
         if not len(found):
             return None
-        return _band_keys(found, draws), len(found), _prefix(found, common, similarity).view(np.int64), _parity(found)
+        return _band_keys(found, draws), len(found), _prefix(found, common, similarity).view(np.int64), _parity(found), _classes(found)
 
-    columns = {"bands": _LONGS, "size": pa.int64(), "prefix": _LONGS, "bits": pa.binary()}
+    columns = {"bands": _LONGS, "size": pa.int64(), "prefix": _LONGS, "bits": pa.binary(), "classes": _LONGS}
     sketches = store(_by_text(docs, key, text_col, columns, make), "sketches")
     by_bands = _band_links(docs, key, text_col, words, seed, similarity, sketches)
     members = store(connected_components(by_bands).select("node.key0", "node.key1", F.col("component.key0").alias("component")), "members")
     pairs = _crossing(sketches, members, similarity)
-    refs = pairs.select("ref").union(pairs.select("lead")).distinct().select("ref.key0", "ref.key1")
-    refs = store(refs, "candidates")
+    met = store(_ends(pairs), "candidates")
+    likely = _likely(pairs, _narrow(sketches, met), similarity)
+    refs = store(_ends(likely), "candidates")
     sets = store(_sets(within(docs, key, refs), key, text_col, words, seed).select(_ref(), "shingles"), "shingles")
-    by_prefix = store(_verified(pairs, sets, similarity), "links")
-    for table in (sketches, members, pairs, refs, sets):
+    by_prefix = store(_verified(likely, sets, similarity), "links")
+    for table in (sketches, members, pairs, met, likely, refs, sets):
         drop(table)
     return by_bands.unionByName(by_prefix.select(F.col("lead").alias("a"), F.col("ref").alias("b")))
 
@@ -168,6 +176,35 @@ def _ref() -> Column:
     return F.struct("key0", "key1").alias("ref")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select("ref").union(pairs.select("lead")).distinct().select("ref.key0", "ref.key1")
+
+
+def _narrow(sketches: DataFrame, refs: DataFrame) -> DataFrame:
+    """(ref, size, classes) of the rows ``refs`` (stored)."""
+    return within(sketches, [F.col("key0"), F.col("key1")], refs).select(_ref(), "size", "classes")
+
+
+def _likely(pairs: DataFrame, parities: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` that sizes and parities by ``_classes`` don't exclude, stored: only these need their sets."""
+    lead = parities.select(F.col("ref").alias("lead"), F.col("size").alias("other_size"), F.col("classes").alias("others"))
+    both = pairs.join(parities, "ref").join(lead, "lead")
+    small, large = F.least("size", "other_size"), F.greatest("size", "other_size")
+    sized = both.where(small >= F.lit(similarity) * large - _SLACK)
+    most = F.lit(1 - similarity) * (F.col("size") + F.col("other_size")) + _SLACK
+    return store(sized.where(_apart("classes", "others") * (1 + similarity) <= most).select("ref", "lead"), "likely")
+
+
+def _apart(one: str, two: str) -> Column:
+    """Bits in which two rows of parities differ; of twice as many classes, the halves are folded; beyond, zero, as if they were equal."""
+    a, b = F.col(one), F.col(two)
+    xor = lambda x, y: F.zip_with(x, y, lambda i, j: i.bitwiseXOR(j))
+    halves = lambda x: xor(F.slice(x, F.lit(1), (F.size(x) / 2).cast("int")), F.slice(x, (F.size(x) / 2).cast("int") + 1, F.size(x)))
+    count = lambda x: F.aggregate(x, F.lit(0), lambda n, i: n + F.bit_count(i))
+    same, wider, narrower = F.size(a) == F.size(b), F.size(a) == 2 * F.size(b), 2 * F.size(a) == F.size(b)
+    return F.when(same, count(xor(a, b))).when(wider, count(xor(halves(a), b))).when(narrower, count(xor(a, halves(b)))).otherwise(0)
+
+
 def _band_links(docs: DataFrame, key: list[Column], text_col: str, words: int, seed: int, similarity: float, sketches: DataFrame) -> DataFrame:
     """(a, b): links of rows with their bands' leaders."""
     hits = sketches.select(_ref(), F.explode("bands").alias("band"))
@@ -175,7 +212,8 @@ def _band_links(docs: DataFrame, key: list[Column], text_col: str, words: int, s
     hits = store(told(hits, shared, "band", "n"), "hits")
     drop(shared)
     refs = store(hits.select("ref").distinct().select("ref.key0", "ref.key1"), "candidates")
-    sets = store(_sets(within(docs, key, refs), key, text_col, words, seed).select(_ref(), "shingles"), "shingles")
+    parities = store(_narrow(sketches, refs), "parities")
+    sets = store(_sets(within(docs, key, refs), key, text_col, words, seed), "shingles")
     found = []
     while True:
         weight = hits.groupBy("ref").agg(F.sum("n").alias("weight"), F.collect_list("band").alias("bands"))
@@ -183,15 +221,18 @@ def _band_links(docs: DataFrame, key: list[Column], text_col: str, words: int, s
         leaders = each.groupBy("band").agg(F.max(F.struct("weight", "ref")).alias("top"), F.count("*").alias("n"))
         leaders = store(leaders.select("band", F.col("top.ref").alias("lead"), "n"), "leaders")
         rest = store(told(hits, leaders, "band", "lead").where("ref <> lead"), "rest")
-        links = store(_verified(rest.select("ref", "lead").distinct(), sets, similarity), "links")
-        for table in (hits, leaders):
+        likely = _likely(rest.select("ref", "lead").distinct(), parities, similarity)
+        ends = store(_ends(likely), "ends")
+        few = within(sets, [F.col("key0"), F.col("key1")], ends).select(_ref(), "shingles")
+        links = store(_verified(likely, few, similarity), "links")
+        for table in (hits, leaders, likely, ends):
             drop(table)
         found.append(links)
         if len(found) == ROUNDS or links.isEmpty():
             break
         hits = store(rest.join(links, ["ref", "lead"], "left_anti").select("band", "ref", "n"), "hits")
         drop(rest)
-    for table in (rest, sets, refs):
+    for table in (rest, sets, refs, parities):
         drop(table)
     out = found[0]
     for links in found[1:]:
