@@ -3,7 +3,7 @@
 A SimHash ball can't reach this far: at a similarity of 0.8 two 64-bit fingerprints differ in about
 ten bits, and a ball of half that radius has millions of variants. So most links come from bands of
 min-hashes, and an exact prefix index finds those between the components that the bands leave. Every
-candidate pair is verified on the whole sets of shingles.
+candidate pair that parities of its shingles don't exclude is verified on the whole sets.
 
 The index: sort each set by one order of all shingles. Two sets that overlap by a share t have t of
 either in common, so the first 1 - t of each, and one more, share a shingle. Any order will do; with
