@@ -117,3 +117,26 @@ def test_empty_and_columns(spark):
     assert kept.columns == docs.columns
     clean = [str(d) for d, t in DOCS if not brute([(d, t)], ITEMS)[0][5]]
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(clean)
+
+
+def test_index_is_not_held_in_large_row_groups(spark, monkeypatch):
+    """One part of test items stores no index; a stored one has row groups of a few segments, however many a task makes."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    kept = []
+    store = decontam.store
+    monkeypatch.setattr(decontam, "store", lambda df, name, **options: kept.append((name, store(df, name, **options))) or kept[-1][1])
+    docs = spark.createDataFrame([(i, f"{ITEM} " + " ".join(f"w{(i * 31 + k) % 5000}x" for k in range(3000))) for i in range(60)], "doc_id long, text string").coalesce(1)
+    _, items = frames(spark)
+    whole = decontam.contamination(docs, items)
+    assert not kept and whole.count() == 60
+    monkeypatch.setattr(decontam, "SEGMENT_BYTES", 50_000)
+    monkeypatch.setattr(decontam, "GROUP_BYTES", 200_000)
+    monkeypatch.setattr(decontam.build_index, "__kwdefaults__", decontam.build_index.__kwdefaults__ | {"segment_bytes": 50_000})
+    parted = decontam.contamination(docs, items, part_bytes=60)
+    index = next(df for name, df in kept if name == "index")
+    groups = [pq.ParquetFile(f).metadata.row_group(i) for f in glob.glob(index._stored_at.removeprefix("file:") + "/*.parquet") for i in range(pq.ParquetFile(f).num_row_groups)]
+    assert index.count() == 30 and max(g.num_rows for g in groups) < 10 and max(g.total_byte_size for g in groups) < 400_000
+    assert sorted(map(str, parted.collect())) == sorted(map(str, whole.collect()))

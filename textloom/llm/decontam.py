@@ -7,13 +7,15 @@ is looked up from its rarest term in the segment: the lists of the other terms,
 the term's offset in the window, are intersected one after another, shortest first.
 
 Test items of any size are asked for in parts that fit into a task; what the parts find in a
-document is put together.
+document is put together. Items of one part ask a segment as soon as it is built, in the same
+task, and it goes; for more parts the index is stored, in row groups of a bounded size.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,8 @@ from .common import digest, drop, store, without
 SEGMENT_BYTES = 2 << 20
 #: Bytes of test items that are sent to every task at a time, in expectation; a longer item goes alone with others.
 PART_BYTES = 8 << 20
+#: Bytes of a row group of a stored index, which its writer and its reader hold whole; sizes are checked at every row.
+GROUP_BYTES = 8 << 20
 #: Maps A-Z to lower case and all ASCII but letters and digits to a space.
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -59,47 +63,53 @@ def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     how many belong to each term. Null and empty texts have no postings but keep their place. Ids
     may be of any type.
     """
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    slim = _slim(docs, id_col, text_col)
     schema = _index_schema(slim.schema[0].dataType)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, counts, base, made = [], [], 0, 0
-        number: dict[bytes, int] = {}
-        parts: list[np.ndarray] = []
-        kind = None
-
-        def close() -> pa.RecordBatch:
-            nonlocal ids, counts, base, made, number, parts
-            term = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-            position = np.flatnonzero(term >= 0).astype("<i4")
-            term = term[position]
-            order = np.argsort(term, kind="stable")
-            row = [
-                pa.array([f"{TaskContext.get().partitionId()}-{made}"]),
-                pa.array([ids], pa.list_(kind)),
-                pa.array([counts], pa.list_(pa.int64())),
-                pa.array([list(number)], pa.list_(pa.binary())),
-                pa.array([np.bincount(term, minlength=len(number)).astype(np.int32)], pa.list_(pa.int32())),
-                pa.array([position[order].tobytes()], pa.binary()),
-            ]
-            ids, counts, base, made, number, parts = [], [], 0, made + 1, {}, []
-            return pa.RecordBatch.from_arrays(row, names=schema.names)
-
-        for b in batches:
-            kind = b.column(0).type
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                tokens = words_of(text.as_buffer().to_pybytes()) if text.is_valid else []
-                if ids and (base + len(tokens)) * 8 + len(ids) * 64 > segment_bytes:
-                    yield close()
-                found = np.fromiter((number.setdefault(w, len(number)) for w in tokens), np.int32, len(tokens))
-                parts += [found, _GAP]
-                ids.append(doc)
-                counts.append(len(tokens))
-                base += len(tokens) + 1
-        if ids:
-            yield close()
-
-    return slim.mapInArrow(run, schema)
+    names = schema.names
+    return slim.mapInArrow(lambda batches: _segments(batches, names, segment_bytes), schema)
+
+
+def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def _segments(batches: Iterator[pa.RecordBatch], names: list[str], segment_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Rows of the index, one a batch, of a task's (doc_id, text); holds one segment at a time."""
+    ids, counts, base, made = [], [], 0, 0
+    number: dict[bytes, int] = {}
+    parts: list[np.ndarray] = []
+    kind = None
+
+    def close() -> pa.RecordBatch:
+        nonlocal ids, counts, base, made, number, parts
+        term = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        position = np.flatnonzero(term >= 0).astype("<i4")
+        term = term[position]
+        order = np.argsort(term, kind="stable")
+        row = [
+            pa.array([f"{TaskContext.get().partitionId()}-{made}"]),
+            pa.array([ids], pa.list_(kind)),
+            pa.array([counts], pa.list_(pa.int64())),
+            pa.array([list(number)], pa.list_(pa.binary())),
+            pa.array([np.bincount(term, minlength=len(number)).astype(np.int32)], pa.list_(pa.int32())),
+            pa.array([position[order].tobytes()], pa.binary()),
+        ]
+        ids, counts, base, made, number, parts = [], [], 0, made + 1, {}, []
+        return pa.RecordBatch.from_arrays(row, names=names)
+
+    for b in batches:
+        kind = b.column(0).type
+        for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
+            tokens = words_of(text.as_buffer().to_pybytes()) if text.is_valid else []
+            if ids and (base + len(tokens)) * 8 + len(ids) * 64 > segment_bytes:
+                yield close()
+            found = np.fromiter((number.setdefault(w, len(number)) for w in tokens), np.int32, len(tokens))
+            parts += [found, _GAP]
+            ids.append(doc)
+            counts.append(len(tokens))
+            base += len(tokens) + 1
+    if ids:
+        yield close()
 
 
 _GAP = np.array([-1], np.int32)
@@ -198,20 +208,27 @@ class Segment:
                 yield w, place - anchor, doc
 
 
+def _ask(index: Iterator[pa.RecordBatch], windows: Windows, answer) -> Iterator[pa.RecordBatch]:
+    for b in index:
+        kind = b.schema.field("doc_id").type.value_type
+        for i in range(b.num_rows):
+            cell = {n: b.column(n)[i] for n in b.schema.names}
+            n_words, n_postings = (cell[n].values.to_numpy(zero_copy_only=False) for n in ("n_words", "n_postings"))
+            segment = Segment(cell["doc_id"].as_py(), n_words, cell["term"].values, n_postings, cell["postings"].as_buffer(), windows)
+            columns = answer(segment, cell["segment"].as_py(), kind)
+            yield pa.RecordBatch.from_pydict(columns)
+
+
 def _query(index: DataFrame, windows: Windows, answer, schema: T.StructType) -> DataFrame:
     shared = index.sparkSession.sparkContext.broadcast(windows)
+    return index.mapInArrow(lambda batches: _ask(batches, shared.value, answer), schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            kind = b.schema.field("doc_id").type.value_type
-            for i in range(b.num_rows):
-                cell = {n: b.column(n)[i] for n in b.schema.names}
-                n_words, n_postings = (cell[n].values.to_numpy(zero_copy_only=False) for n in ("n_words", "n_postings"))
-                segment = Segment(cell["doc_id"].as_py(), n_words, cell["term"].values, n_postings, cell["postings"].as_buffer(), shared.value)
-                columns = answer(segment, cell["segment"].as_py(), kind)
-                yield pa.RecordBatch.from_pydict(columns)
 
-    return index.mapInArrow(run, schema)
+def _query_built(docs: DataFrame, windows: Windows, answer, schema: T.StructType) -> DataFrame:
+    """``_query`` of the index of ``docs`` (doc_id, text), whose segments go from hand to hand inside a task."""
+    shared = docs.sparkSession.sparkContext.broadcast(windows)
+    names = _index_schema(docs.schema[0].dataType).names
+    return docs.mapInArrow(lambda batches: _ask(_segments(batches, names, SEGMENT_BYTES), shared.value, answer), schema)
 
 
 def load_windows(items: DataFrame, *, item_col: str = "item_id", text_col: str = "text", width: int = 10, part_bytes: int = PART_BYTES) -> Iterator[Windows]:
@@ -257,7 +274,7 @@ def overlaps(index: DataFrame, parts: Iterator[Windows]) -> DataFrame:
     head = next(parts)
     second = next(parts, None)
     if second is None:
-        return _whole_overlaps(index, head)
+        return _query(index, head, *_whole_overlaps(_id_type(index)))
     found = store(_part_overlaps(index, head), "hits")
     hits = [found]
     while second is not None:
@@ -276,6 +293,18 @@ def overlaps(index: DataFrame, parts: Iterator[Windows]) -> DataFrame:
     return rows.join(counted, ["segment", "doc"], "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"))
 
 
+def _found(docs: DataFrame, parts: Iterator[Windows], id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """``overlaps`` of the index of ``docs``, and that index where it was stored."""
+    head = next(parts)
+    second = next(parts, None)
+    if second is None:
+        slim = _slim(docs, id_col, text_col)
+        return _query_built(slim, head, *_whole_overlaps(slim.schema[0].dataType)), None
+    grouped = {"parquet.block.size": GROUP_BYTES, "parquet.page.size.row.check.min": 1}
+    index = store(build_index(docs, id_col=id_col, text_col=text_col), "index", **grouped)
+    return overlaps(index, chain((head, second), parts)), index
+
+
 def _covered(s: Segment) -> tuple[np.ndarray, dict[int, set]]:
     """Which places of the segment's axis lie inside an occurrence, and the items found in each document."""
     cover = np.zeros(int(s.start[-1]) + 1, np.int32)
@@ -292,7 +321,9 @@ def _named(items: set) -> list[str]:
     return sorted(i for i in items if i is not None)
 
 
-def _whole_overlaps(index: DataFrame, windows: Windows) -> DataFrame:
+def _whole_overlaps(id_type: T.DataType) -> tuple:
+    """What a segment answers by all test items, and its schema."""
+
     def answer(s: Segment, name: str, kind: pa.DataType) -> dict:
         inside, items = _covered(s)
         hit = np.concatenate(([0], np.cumsum(inside)))
@@ -300,7 +331,7 @@ def _whole_overlaps(index: DataFrame, windows: Windows) -> DataFrame:
         named = [_named(items.get(d, set())) for d in range(len(s.ids))]
         return {"doc_id": pa.array(s.ids, kind), "n_words": pa.array(s.n_words), "n_hit": pa.array(n_hit.astype(np.int64)), "item_ids": pa.array(named, pa.list_(pa.string()))}
 
-    return _query(index, windows, answer, T.StructType().add("doc_id", _id_type(index)).add("n_words", "long").add("n_hit", "long").add("item_ids", T.ArrayType(T.StringType())))
+    return answer, T.StructType().add("doc_id", id_type).add("n_words", "long").add("n_hit", "long").add("item_ids", T.ArrayType(T.StringType()))
 
 
 def _part_overlaps(index: DataFrame, windows: Windows) -> DataFrame:
@@ -345,9 +376,8 @@ def contamination(
     of any size are looked up in parts. Repeated rows of either table, ties and extra columns,
     whatever their names, change nothing; an empty table of documents gives no rows.
     """
-    index = store(build_index(docs, id_col=id_col, text_col=text_col), "index")
     parts = load_windows(benchmark, item_col=item_col, text_col=item_text_col, width=width, part_bytes=part_bytes)
-    return overlaps(index, parts).select(
+    return _found(docs, parts, id_col, text_col)[0].select(
         "doc_id",
         "n_words",
         "n_hit",
@@ -364,9 +394,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     slim = docs.select(F.struct(*[k.alias(f"key{i}") for i, k in enumerate(digest(text))]).alias("doc"), text.alias("text"))
-    index = store(build_index(slim, id_col="doc"), "index")
-    found = overlaps(index, load_windows(benchmark, item_col=item_col, text_col=item_text_col, width=width))
+    found, index = _found(slim, load_windows(benchmark, item_col=item_col, text_col=item_text_col, width=width), "doc", "text")
     hit = (F.col("n_hit") > 0) & (F.col("n_hit") > max_share * F.col("n_words"))
     bad = store(found.where(hit).select("doc_id.key0", "doc_id.key1").distinct(), "contaminated")
-    drop(index)
+    if index is not None:
+        drop(index)
     return without(docs, digest(text), bad)
