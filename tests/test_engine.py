@@ -76,6 +76,42 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(f"file://{tmp_path}/r/json").first().rate == 1.5
 
 
+def test_npy_is_read_in_ranges(spark, tmp_path, monkeypatch):
+    """A file's rows are read by many tasks, whether a row is one record of the file or several."""
+    monkeypatch.setattr(sinks, "NPY_SPLIT", 4096)
+    for dim in (8, 12, 2):
+        want = np.random.default_rng(dim).normal(size=(1000, dim)).astype(np.float32)
+        df = spark.createDataFrame([(i, "ok", v.tolist()) for i, v in enumerate(want)], "seq long, status string, embedding array<float>").repartition(7)
+        path = f"file://{tmp_path}/{dim}.npy"
+        assert sinks.write_npy(df, path, dim) == 1000
+        found = sinks.read_npy(spark, path, dim)
+        rows = sorted((r.at, r.found) for r in found.collect())
+        assert [a for a, _ in rows] == list(range(1000)) and np.array_equal(np.array([v for _, v in rows], np.float32), want)
+        assert dim != 8 or found.rdd.getNumPartitions() > 5
+    sinks.write_npy(df.where("seq < 0"), f"file://{tmp_path}/none.npy", 2)
+    assert sinks.read_npy(spark, f"file://{tmp_path}/none.npy", 2).count() == 0
+
+
+def test_hash_encoder_holds_little(monkeypatch):
+    """Pooling goes by parts of a batch and remembers a bounded number of vectors, with the same result."""
+    import tracemalloc
+
+    ids = np.random.default_rng(1).integers(3, 250_003, (4096, 256))
+    mask = np.ones_like(ids)
+    encoder = HashEncoder(8)
+    few = encoder.encode(ids[:50], mask[:50])
+    assert np.allclose(HashEncoder(8).encode(ids[:1], mask[:1]), few[:1])
+    encoder.encode(ids[:512], mask[:512])
+    assert len(encoder._vectors) <= 20_000
+    ids %= 5000
+    encoder.encode(ids, mask)
+    tracemalloc.start()
+    encoder.encode(ids, mask)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 90e6  # 4096 x 256 x 8 doubles are 67 MB, twice so while they are summed
+
+
 def test_observed_counts(spark):
     df, seen = observed(Engine(EmbedConfig(**SMALL)).plan(messages(spark)))
     df.write.format("noop").mode("overwrite").save()

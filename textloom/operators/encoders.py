@@ -35,6 +35,10 @@ def l2_normalize(v: np.ndarray, eps: float = 1e-12) -> np.ndarray:
     return v / np.sqrt(np.maximum((v**2).sum(-1, keepdims=True), eps))
 
 
+#: Token vectors that a worker remembers, some 300 bytes each, and tokens of a batch that are pooled at a time.
+HASH_TOKENS, POOLED_TOKENS = 20_000, 1 << 16
+
+
 class HashEncoder:
     """An encoder without weights: every token id has a fixed pseudo-random vector."""
 
@@ -50,15 +54,17 @@ class HashEncoder:
             need = -(-self.dim // 8)
             raw = b"".join(hashlib.sha256(f"{token}#{i}".encode()).digest() for i in range(need))
             v = np.frombuffer(raw, "<u4")[: self.dim].astype(np.float64) / 2**31 - 1
-            if len(self._vectors) < 500_000:
+            if len(self._vectors) < HASH_TOKENS:
                 self._vectors[token] = v
         return v
 
     def encode(self, ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
         known, inverse = np.unique(ids, return_inverse=True)
         table = np.stack([self._vector(int(t)) for t in known])
-        used = mask * ~np.isin(ids, self.skip)
-        return l2_normalize(mean_pool(table[inverse.reshape(ids.shape)], used)).astype(np.float32)
+        used, place = mask * ~np.isin(ids, self.skip), inverse.reshape(ids.shape)
+        rows = max(1, POOLED_TOKENS // max(1, ids.shape[1]))
+        pooled = [mean_pool(table[place[i : i + rows]], used[i : i + rows]) for i in range(0, len(ids), rows)]
+        return l2_normalize(np.concatenate(pooled)).astype(np.float32)
 
 
 def hash_vectors(texts: DataFrame, key: str, dim: int, column: str = "norm_text") -> DataFrame:

@@ -16,7 +16,7 @@ from ..functions import vectors
 from ..operators import batching, dedup, metrics, tokenize, vocab
 from ..operators.encoders import hash_vectors
 from ..operators.models import REGISTRY
-from ..shared import spread, store, work_dir
+from ..shared import hadoop_path, spread, store, work_dir
 from ..sources import sinks, text
 from .engine import Engine
 
@@ -374,7 +374,7 @@ _BATCHED_SQL = f"""
 
 
 def _batched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return batching.with_batches(_lengths(spark, sf_dir), "n", "doc_id", _SMALL, _SMALL_SIZES)
+    return batching.with_batches(store(_lengths(spark, sf_dir), "lengths"), "n", "doc_id", _SMALL, _SMALL_SIZES)
 
 
 @_query(f"SELECT doc_id, bucket, batch, place FROM ({_BATCHED_SQL})")
@@ -485,7 +485,7 @@ def embed_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_no, 'doc-' || doc_id AS id FROM ({_NORM_DOCS_SQL}) WHERE norm_text IS NOT NULL")
 def ordered_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = Engine().plan(_messages(spark, sf_dir)).where("status = 'ok'").select("seq", "id")
-    return text.dense_seq(rows, "seq", name="row_no").select("row_no", "id")
+    return text.dense_seq(store(rows, "ok"), "seq", name="row_no").select("row_no", "id")
 
 
 @_query(f"SELECT 'doc-' || doc_id AS id, {DIM}::BIGINT AS dim, true AS same FROM ({_NORM_DOCS_SQL}) WHERE norm_text IS NOT NULL")
@@ -501,25 +501,15 @@ def parquet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"SELECT count(*)::BIGINT AS rows, {DIM}::BIGINT AS dim, 128 + 4 * {DIM} * count(*)::BIGINT AS bytes FROM ({_NORM_DOCS_SQL}) WHERE norm_text IS NOT NULL")
 def npy_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors written as one file; its header and values are held against the result, row by row in order of seq."""
-    import numpy as np
-    import pandas as pd
-
     path = work_dir(spark, "vectors.npy")
     made = Engine().embed(_messages(spark, sf_dir)).df
     rows = sinks.write_npy(made, path, DIM)
     ok = text.dense_seq(made.where("status = 'ok'").select("seq", F.col("embedding").alias("made")), "seq", name="at")
-
-    def read(frames):
-        for f in frames:
-            for content in f["content"]:
-                values = np.frombuffer(content, "<f4", offset=128).reshape(-1, DIM)
-                yield pd.DataFrame({"at": np.arange(len(values)), "found": list(values)})
-
-    found = spark.read.format("binaryFile").load(path)
-    same = found.select("content").mapInPandas(read, "at long, found array<float>").join(ok, "at", "full").agg(F.count_if(~F.col("found").eqNullSafe(F.col("made"))).alias("n")).first().n
+    fs, written = hadoop_path(spark, path)
+    same = sinks.read_npy(spark, path, DIM).join(ok, "at", "full").agg(F.count_if(~F.col("found").eqNullSafe(F.col("made"))).alias("n")).first().n
     if same:
         raise AssertionError(f"{same} vectors differ")
-    return spark.createDataFrame([(rows, DIM, found.select("length").first().length)], "rows long, dim long, bytes long")
+    return spark.createDataFrame([(rows, DIM, fs.getFileStatus(written).getLen())], "rows long, dim long, bytes long")
 
 
 @_query(

@@ -34,6 +34,9 @@ def word_hash_tokenizer(max_len: int) -> Tokenizer:
     return tokenize
 
 
+#: Rows that a task tokenizes at a time.
+TOKENIZED_ROWS = 1024
+
 ENCODED = T.StructType(
     [
         T.StructField("norm_text", T.StringType()),
@@ -69,7 +72,7 @@ def encode_texts(texts: DataFrame, config: EmbedConfig, encoder: Encoder, make_t
         part = context.partitionId() if context else 0
         encoder.load()
         tokenize = make_tokenizer()
-        waiting: list[list[tuple[str, tuple, list[int]]]] = [[] for _ in buckets]
+        waiting: list[list[tuple[str, tuple, np.ndarray]]] = [[] for _ in buckets]
         done = [0] * len(buckets)
         before = [0, 0, 0]
 
@@ -113,13 +116,13 @@ def encode_texts(texts: DataFrame, config: EmbedConfig, encoder: Encoder, make_t
             kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.bool_(), pa.list_(pa.float32()), *[pa.int64()] * 3]
             return pa.RecordBatch.from_arrays([*(pa.array([None] * len(rows), k) for k in kinds), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=ENCODED.names)
 
-        for b in batches:
+        for b in (b.slice(i, TOKENIZED_ROWS) for b in batches for i in range(0, b.num_rows, TOKENIZED_ROWS)):
             rows = list(zip(*(c.to_pylist() for c in b.columns)))
             empty = [key for text, *key in rows if text is None]
             some = [r for r in rows if r[0] is not None]
             for (text, *key), tokens in zip(some, tokenize([r[0] for r in some])):
                 k = min(int(np.searchsorted(buckets, len(tokens))), len(buckets) - 1)
-                waiting[k].append((text, key, tokens))
+                waiting[k].append((text, key, np.array(tokens, np.int64)))
                 if len(waiting[k]) >= sizes[k]:
                     yield flush(k)
             if empty:

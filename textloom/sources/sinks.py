@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import InputOutputError
 from ..shared import hadoop_path, remove, work_dir
@@ -60,6 +63,35 @@ def write_npy(results: DataFrame, path: str, dim: int) -> int:
     return total
 
 
+#: Bytes of a NumPy file's values that one task reads.
+NPY_SPLIT = 8 << 20
+
+
+def read_npy(spark: SparkSession, path: str, dim: int) -> DataFrame:
+    """(at, found) of a file as ``write_npy`` writes it: rows by number, read by many tasks, each its own range of the file.
+
+    The file system splits it into records of a fixed length that divides header and rows.
+    """
+    unit = math.gcd(128, 4 * dim)
+    each, head = 4 * dim // unit, 128 // unit
+    conf = {"fixedlengthinputformat.record.length": str(unit), "mapreduce.input.fileinputformat.split.maxsize": str(NPY_SPLIT)}
+    lib = "org.apache.hadoop.mapreduce.lib.input.FixedLengthInputFormat"
+    records = spark.sparkContext.newAPIHadoopFile(path, lib, "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf=conf)
+    schema = T.StructType().add("place", "long").add("data", "binary")
+    pieces = spark.createDataFrame(records.map(lambda r: (r[0] // unit - head, bytearray(r[1]))), schema, verifySchema=False).where("place >= 0")
+    if each > 1:  # rows of several records are put together
+        at = F.floor(F.col("place") / each).alias("place")
+        pieces = pieces.groupBy(at).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", F.hex("data").alias("h")))), lambda x: x["h"]), "").alias("h")).select("place", F.unhex("h").alias("data"))
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat = np.frombuffer(b"".join(b.column(1).to_pylist()), "<f4")
+            found = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, dim, dtype=np.int32), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([b.column(0), found], names=["at", "found"])
+
+    return pieces.mapInArrow(values, "at long, found array<float>")
+
+
 def write_vectors(results: DataFrame, path: str, dim: int) -> None:
     """Parquet by the extension ``parquet``, else NumPy."""
     if path.endswith(".parquet"):

@@ -101,8 +101,9 @@ def dense_seq(df: DataFrame, *order: str, name: str = "seq", by: tuple[str, ...]
     """``df`` with 0, 1, 2, ... in the order of ``order`` columns, without one task for all rows.
 
     With ``by`` (few, non-null values) every value of these columns is numbered by itself. Rows
-    are range-partitioned and sorted; partitions' counts give the offsets. The sorted rows are
-    stored in between, so that both steps see the same partitions.
+    are range-partitioned and sorted; partitions' counts give the offsets. Sorted rows are
+    stored in between, so that both steps see the same partitions. Ranges are told from a sample,
+    for which ``df`` is made once more: what is dear to make should be stored.
     """
     return _numbered(df.repartitionByRange(shuffle_partitions(df.sparkSession), *by, *order).sortWithinPartitions(*by, *order), name, by)
 
