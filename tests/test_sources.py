@@ -3,13 +3,15 @@ import gzip
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from textloom import cli
 from textloom.errors import InputOutputError, TokenizerError
-from textloom.operators import vocab
+from textloom.operators import tokenize, vocab
 from textloom.operators.dedup import fnv1a
 from textloom.operators.tokenize import Words
 from textloom.plans.engine import Engine
+from textloom.shared import store
 from textloom.sources import text
 from textloom.streaming.embed import embed_stream, read_stream
 from textloom.streaming.monitor import watch
@@ -176,3 +178,34 @@ def test_first_rows_by_order(spark, monkeypatch, taken):
     assert sorted(r.k for r in text.first_of(df, 17, "k").collect()) == list(range(17))
     assert text.posts(df, "text", most=23).count() == 23 and text.posts(df, "text").count() == 1000
     assert "SinglePartition" not in text.posts(df, "text", most=23)._jdf.queryExecution().toString()
+
+
+def test_lines_are_parsed_once(spark, tmp_path):
+    write(tmp_path)
+    parsed = text.parse_jsonl(text.read_lines(spark, [f"file://{tmp_path}/b.jsonl"]))
+    good = parsed.where(parsed.ok & (F.octet_length("text") >= 10)).select("id", "text")
+    assert good._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") == 1
+    assert good.count() == 5
+
+
+def test_joined_tokens_make_texts_and_counts_once(spark, monkeypatch):
+    """Dear texts are made once for a vocabulary that is joined, and a large one isn't sorted by one task."""
+    monkeypatch.setattr(tokenize, "BROADCAST_WORDS", 1)
+    monkeypatch.setattr(text, "TAKEN_ROWS", 1)
+    monkeypatch.setattr(vocab, "TAKEN_ROWS", 1)
+    made = spark.sparkContext.accumulator(0)
+    rows = [(i, f"ab w{i % 7} cd zz") for i in range(50)]
+
+    def seen(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame(rows, "k long, text string").mapInArrow(seen, "k long, text string")
+    top = vocab.top_words(df, most=4)
+    assert sorted(map(tuple, top.collect()), key=lambda r: (-r[1], r[0])) == [("ab", 50), ("cd", 50), ("zz", 50), ("w0", 8)] and made.value == 50
+    assert "TakeOrdered" not in top._jdf.queryExecution().toString()
+    known = store(top.select("word", F.array(F.lit(9)).alias("ids")), "known")
+    made.value = 0
+    got = {r.k: r.ids for r in tokenize.token_ids(df, known, key="k").collect()}
+    assert got[0] == [0, 9, 9, 9, 9, 2] and got[1] == [0, 9, 3, 9, 9, 2] and len(got) == 50 and made.value == 50

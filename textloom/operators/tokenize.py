@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import with_specials
+from ..shared import store
 from .vocab import MARK
 
 #: Words that a worker remembers besides the vocabulary's, and bytes of a word that it remembers.
@@ -115,6 +116,7 @@ def token_ids(texts: DataFrame, vocab: DataFrame, *, key: str, column: str = "te
 
 
 def _joined_ids(texts: DataFrame, vocab: DataFrame, key: str, column: str, max_len: int, unknown: int) -> DataFrame:
+    texts = store(texts.select(key, column), "texts")  # read twice, made once
     each = texts.select(key, F.posexplode(F.split(column, " ")).alias("pos", "word")).where("word != ''")
     found = each.join(vocab, "word", "left").withColumn("ids", F.coalesce("ids", F.array(F.lit(unknown))))
     rows = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("pieces"))

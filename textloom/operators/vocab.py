@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import TokenizerError
+from ..shared import store
+from ..sources.text import TAKEN_ROWS, first_of
 
 MAGIC, VERSION = b"IMSVCACH", 1  # fixed values of the file format
 MARK = "▁"
@@ -79,9 +81,13 @@ def words(texts: DataFrame, column: str = "text") -> DataFrame:
 
 
 def top_words(texts: DataFrame, column: str = "text", *, most: int = 1_500_000, max_chars: int = 45) -> DataFrame:
-    """(word, n): the commonest words with a letter, ties by word; words of digits only are left out."""
+    """(word, n): the commonest words with a letter, ties by word; words of digits only are left out.
+
+    More than a task may hold are counted once, stored and numbered by many tasks.
+    """
     fit = words(texts, column).where((F.length("word") <= max_chars) & F.rlike("word", F.lit(r"\p{IsAlphabetic}")))
-    return fit.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(most)
+    counts = fit.groupBy("word").agg(F.count("*").alias("n"))
+    return first_of(counts if most <= TAKEN_ROWS else store(counts, "counts"), most, F.desc("n"), "word")
 
 
 def from_corpus(texts: DataFrame, tokenizer, column: str = "text", *, most: int = 1_500_000) -> dict[str, list[int]]:

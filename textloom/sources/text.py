@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import InputOutputError
+from ..functions.normalize import once
 from ..shared import hadoop_path, shuffle_partitions, store
 
 #: Rows that may pass through one task.
@@ -54,11 +55,9 @@ def read_lines(spark: SparkSession, paths: list[str], *, missing: str = "error",
     return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
 
 
-def json_string(line: Column, key: str) -> Column:
-    """A top-level string of a JSON line; null for other types. The last of equal keys counts."""
-    parsed = F.try_variant_get(F.try_parse_json(line), f"$.{key}", "variant")
-    kind = F.schema_of_variant(parsed)
-    return F.when(kind == "STRING", F.try_variant_get(F.try_parse_json(line), f"$.{key}", "string"))
+def json_string(parsed: Column, key: str) -> Column:
+    """A top-level string of a parsed JSON line; null for other types. The last of equal keys counts."""
+    return once(F.try_variant_get(parsed, f"$.{key}", "variant"), lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")))
 
 
 def parse_jsonl(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -68,8 +67,11 @@ def parse_jsonl(lines: DataFrame, value: str = "value") -> DataFrame:
     that are no UTF-8 are. Equal keys are allowed, for which a setting of the session is needed.
     """
     lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    text = F.nullif(trim(json_string(F.col(value), "text")), F.lit(""))
-    out = lines.where(trim(F.col(value)) != "").withColumns({"id": F.coalesce(json_string(F.col(value), "id"), F.lit("")), "text": text})
+    text = lambda v: once(trim(json_string(v, "text")), lambda t: F.when(t != "", t))
+    fields = once(F.try_parse_json(F.col(value)), lambda v: F.struct(F.coalesce(json_string(v, "id"), F.lit("")).alias("id"), text(v).alias("text")))
+    # Exploded from an array of one, so that a line is parsed once and not again in filters that are pushed below.
+    rows = lines.where(F.rlike(F.col(value), F.lit(r"(?U)\S"))).select("*", F.explode(F.array(fields)).alias("__fields"))
+    out = rows.withColumns({"id": F.col("__fields.id"), "text": F.col("__fields.text")}).drop("__fields")
     return out.withColumn("ok", F.col("text").isNotNull() & F.is_valid_utf8(F.col(value)))
 
 
